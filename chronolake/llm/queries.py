@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronolake.llm import decontam, exact_dedup, packing, token_counts
+from chronolake.llm import decontam, exact_dedup, langid, near_dedup, packing, quality, token_counts, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -15,6 +15,35 @@ def tokenizer_path():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _remainder(n):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(_remainder(5) != 0))
+    made = quality.score(docs, model)
+    return made.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_remainder(4) != 2))
+    made = toxicity.score(docs, model)
+    return made.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_clauses")
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_remainder(4) != 2))
+    made = langid.identify(docs, model)
+    return made.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,7 +67,7 @@ def op9_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_exact_dedup, op7_token_counts, op8_best_fit_packing, op9_decontamination)}
+    return {f.__name__: f for f in (op2_quality, op4_exact_dedup, op5_near_dedup, op6_toxicity, op7_token_counts, op8_best_fit_packing, op9_decontamination, op10_language_id)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,6 +78,16 @@ ORACLE = {
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)""",
+    "op5_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+                   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+             e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+             r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
     "op9_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
              b AS (SELECT item_id, regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
