@@ -46,10 +46,14 @@ class Roller:
                 setattr(self, name, np.multiply.accumulate(steps))
 
     def prefix(self, data):
-        self._grow(len(data))
-        out = np.empty(len(data) + 1, U64)
+        return self.prefix_of(self.image[data])
+
+    def prefix_of(self, values):
+        """Prefix sums for a sequence of 64-bit values instead of bytes."""
+        self._grow(len(values))
+        out = np.empty(len(values) + 1, U64)
         out[0] = 0
-        np.cumsum(self.image[data] * self.up[: len(data)], out=out[1:])
+        np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out
 
     def ranges(self, prefix, start, end):

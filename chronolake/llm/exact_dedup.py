@@ -85,6 +85,17 @@ def exact_groups(df, id_col="doc_id", text_col="text", block=BLOCK):
 
 
 def drop_exact(df, id_col="doc_id", text_col="text", block=BLOCK):
-    """df without the rows that exact_groups doesn't keep; null ids count as unequal to all and stay out."""
-    kept = exact_groups(df, id_col, text_col, block).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("_keep"), "left_semi")
+    """One row of df for each group of exact_groups, with all columns: the one with the largest id.
+
+    Of rows equal in id and text one stays, any of them.  Rows with a null id stay only where no equal text has an id.
+    """
+    groups = runtime.cut(exact_groups(df, id_col, text_col, block), "groups")
+    kept = groups.where("kept OR (doc_id IS NULL AND keep_id IS NULL)").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    twice = kept.groupBy("_keep", "_sha").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_keep", "_sha")
+    sha = F.sha2(fold(F.col(text_col).cast("string")), 256)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (sha == F.col("_sha"))
+    if twice.isEmpty():
+        return df.join(kept, same, "left_semi")
+    once = df.join(kept.join(twice, ["_keep", "_sha"], "left_anti"), same, "left_semi")
+    again = df.join(twice, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return once.unionByName(again)

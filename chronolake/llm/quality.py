@@ -154,3 +154,21 @@ def score(df, model, id_col="doc_id", text_col="text"):
     spark = runtime.ready(df.sparkSession)
     held = spark.sparkContext.broadcast(model)
     return runtime.text_frame(df, id_col, text_col).mapInArrow(_score(held), "doc_id long, score double")
+
+
+def _keep(held, text_col, least):
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            mask = [model.score(terms(data, bounds)) >= least for _, _, data, bounds in B.chunks(batch, text_col)]
+            if mask:
+                yield batch.filter(pa.array(np.concatenate(mask)))
+
+    return run
+
+
+def keep_good(df, model, least=0.3, text_col="text"):
+    """The rows of df whose score is at least `least`, all columns, without a shuffle."""
+    spark = runtime.ready(df.sparkSession)
+    held = spark.sparkContext.broadcast(model)
+    return df.mapInArrow(_keep(held, text_col, least), df.schema)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronolake.llm import decontam, exact_dedup, langid, near_dedup, packing, quality, token_counts, toxicity
+from chronolake.llm import decontam, exact_dedup, langid, near_dedup, packing, quality, recompression, suffix_dedup, token_counts, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -44,6 +44,14 @@ def op10_language_id(spark, sf_dir):
     return made.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_recompression(spark, sf_dir):
+    return recompression.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -67,7 +75,7 @@ def op9_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality, op4_exact_dedup, op5_near_dedup, op6_toxicity, op7_token_counts, op8_best_fit_packing, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_recompression, op4_exact_dedup, op5_near_dedup, op6_toxicity, op7_token_counts, op8_best_fit_packing, op9_decontamination, op10_language_id)}
 
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
