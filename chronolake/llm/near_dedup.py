@@ -13,7 +13,9 @@ of ROWS slots make buckets: at the threshold 0.75 a pair shares none with probab
 A bucket of k documents is not expanded into pairs.  It is taken as a star about one member, the
 pairs are confirmed on full sets, and confirmed links are merged (union-find by alternating
 large and small stars, in DataFrames).  After STARS rounds with different centres, pairs
-of one bucket that are still in different components are all confirmed.  So no link that
+of one bucket that are still in different components are all confirmed: as pairs in buckets of
+at most PAIRED members, else in blocks, where the members outside a bucket's largest component
+are held against all its members inside a task and only links come out.  So no link that
 changes a component is lost, and pairs inside a component are not listed.
 
 Null or wordless texts have an empty set and are linked with nothing.  Rows that share a
@@ -32,6 +34,8 @@ SHINGLE = 5
 THRESHOLD = 75
 ROWS, BANDS = 6, 60
 STARS = 2
+#: Members of a bucket up to which its remaining pairs are listed, and members of a block in larger ones.
+PAIRED, BLOCK = 24, 256
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -160,6 +164,52 @@ def components(links):
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _compare_blocks(threshold):
+    """Links between the minor members of a unit and all members of its block in other components."""
+
+    def compare(table):
+        ids, parts = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        minor = np.flatnonzero(table.column("minor").to_numpy(zero_copy_only=False))
+        other = np.flatnonzero(~table.column("minor").to_numpy(zero_copy_only=False))
+        lists = table.column("shingles").combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(offsets)
+        if not len(minor) or not len(other):
+            return LINK.empty_table()
+        all_values = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in other])
+        starts = np.concatenate([[0], np.cumsum(sizes[other])])[:-1]
+        words, at = np.unique(all_values, return_inverse=True)
+        found = []
+        for k in minor:
+            mine = values[offsets[k] : offsets[k + 1]]
+            where = np.searchsorted(words, mine)
+            where[where == len(words)] = 0
+            mark = np.zeros(len(words), np.int64)
+            mark[where[words[where] == mine]] = 1
+            common = np.add.reduceat(mark[at], starts)
+            hit = (common * 100 >= (sizes[k] + sizes[other] - common) * threshold) & (parts[other] != parts[k])
+            found += [(min(a, b), max(a, b)) for a, b in zip(ids[other[hit]].tolist(), [int(ids[k])] * int(hit.sum()), strict=True)]
+        return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINK)
+
+    return compare
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _in_blocks(rows, sets, threshold):
+    """Links across components inside large buckets; rows: (key, doc, component)."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    about = counts.groupBy("key").agg(F.sum("n").alias("k"), F.max(F.struct("n", "component")).alias("top")).where(F.col("k") > PAIRED)
+    about = about.select("key", "top.component", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.ceil((F.col("k") - F.col("top.n")) / BLOCK).alias("minor_blocks")).withColumnRenamed("component", "most")
+    placed = rows.join(about, "key").withColumn("at", F.xxhash64("doc"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = placed.select("key", "doc", "component", F.lit(False).alias("minor"), F.pmod("at", "blocks").alias("x"), every("minor_blocks").alias("y"))
+    minor = placed.where("component <> most").select("key", "doc", "component", F.lit(True).alias("minor"), every("blocks").alias("x"), F.pmod("at", "minor_blocks").alias("y"))
+    units = whole.unionByName(minor).join(sets, F.col("doc") == F.col("doc_id")).select("key", "x", "y", "doc", "component", "minor", "shingles")
+    return units.groupBy("key", "x", "y").applyInArrow(_compare_blocks(threshold), "a long, b long").distinct()
+
+
 def _linked(multi, sets, threshold):
     """Links between representatives that hold all components; multi: (key, doc) of buckets with two members or more."""
     links, group = None, None
@@ -175,9 +225,13 @@ def _linked(multi, sets, threshold):
             pairs = rows.join(centre, "key").where("component <> c.component")
             pairs = pairs.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
         else:
-            other = rows.select("key", F.col("doc").alias("d"), F.col("component").alias("c"))
-            pairs = rows.join(other, "key").where("doc < d AND component <> c").select(F.col("doc").alias("a"), F.col("d").alias("b"))
+            few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= PAIRED).select("key")
+            low = rows.join(few, "key", "left_semi")
+            other = low.select("key", F.col("doc").alias("d"), F.col("component").alias("c"))
+            pairs = low.join(other, "key").where("doc < d AND component <> c").select(F.col("doc").alias("a"), F.col("d").alias("b"))
         found = confirm(pairs.distinct(), sets, threshold)
+        if turn == STARS:
+            found = found.unionByName(_in_blocks(rows, sets, threshold))
         links = runtime.cut(found if links is None else links.unionByName(found), "links")
         group = components(links)
     return links, group
