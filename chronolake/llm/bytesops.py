@@ -39,7 +39,7 @@ class Roller:
 
     def _grow(self, n):
         if len(self.up) < n + 1:
-            n = max(n + 1, 1 << 20)
+            n = max(n + 1, 1 << 18)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(n, U64(b))
                 steps[0] = 1
@@ -80,7 +80,7 @@ def utf8_column(column):
     return data, offsets
 
 
-def chunks(batch, text_col="text", max_bytes=1 << 20):
+def chunks(batch, text_col="text", max_bytes=1 << 18):
     """Yield (row_from, row_to, data, bounds): whole documents, bounds has one more entry than rows."""
     data, offsets = utf8_column(batch.column(batch.schema.get_field_index(text_col)))
     n, i = len(offsets) - 1, 0

@@ -206,8 +206,8 @@ def _explode(span):
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for i in range(0, table.num_rows, 4096):
-                part = table.slice(i, 4096)
+            for i in range(0, table.num_rows, 512):
+                part = table.slice(i, 512)
                 owner, place, x, y = _windows(part, span)
                 get = lambda c: part.column(c).to_numpy()[owner]  # noqa: B023, E731
                 columns = [x.view(np.int64), y.view(np.int64), get("doc_id"), get("pos") + place, get("label"), get("name")]

@@ -15,6 +15,7 @@ Names are 64-bit hashes; a name only counts together with its bucket's (128 bits
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytesops as B
@@ -70,22 +71,34 @@ def _cut_out(locate):
     return run
 
 
+#: Bytes of bodies that are compared at once, but for a bucket that has more (at most HOT runs).
+AT_ONCE = 1 << 18
+
+
 def _small(compare):
-    """Whole buckets, which arrive sorted, go to `compare`, many at a time."""
+    """Whole buckets, which arrive sorted, go to `compare`, several at a time."""
 
     def run(batches):
         held = None
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.nbytes < 1 << 20:
-                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
             bucket = held.column("bucket").to_numpy()
             whole = int(np.searchsorted(bucket, bucket[-1]))
             if whole:
-                yield from compare(held.slice(0, whole))
+                yield from _parts(held.slice(0, whole), compare)
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from compare(held)
+            yield from _parts(held, compare)
+
+    def _parts(table, compare):
+        bucket = table.column("bucket").to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("body")).to_numpy())])[edges]
+        i = 0
+        while i < len(edges) - 1:
+            j = max(int(np.searchsorted(sizes, sizes[i] + AT_ONCE, side="right")) - 1, i + 1)
+            yield from compare(table.slice(edges[i], edges[j] - edges[i]))
+            i = j
 
     return run
 

@@ -8,8 +8,14 @@ import uuid
 _WRITTEN = []
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and a worker holds a batch and its copy.
+BATCH_ROWS = 1000
+
+
 def ready(spark):
-    """Let Python workers import this package when driver and workers share a machine; a cluster ships it with --py-files."""
+    """Let Python workers import this package when driver and workers share a machine (a cluster ships it with
+    --py-files), and bound the batches that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):

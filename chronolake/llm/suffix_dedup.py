@@ -100,8 +100,8 @@ def _explode(span):
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for i in range(0, table.num_rows, 4096):
-                part = table.slice(i, 4096)
+            for i in range(0, table.num_rows, 512):
+                part = table.slice(i, 512)
                 data, bounds = repeats.bodies(part)
                 at = np.arange(max(len(data) - span + 1, 0))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))[: len(at)]
