@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from chronolake.llm import bytesops as B
 from chronolake.llm import runtime
 
-#: Runs of a bucket that one task compares at most.
-HOT = 1024
+#: Runs of a bucket that one task compares at most: some 3 MB of text.
+HOT = 8192
 RUN = "bucket long, name long, doc_id long, pos long, len long"
 TEXTS = "bucket long, size long, name long, doc_id long, pos long, len long, label long, body binary"
 
