@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolake.operators import versions
 from chronolake.schemas import DATASETS, SchemaError, dataset, validate
@@ -70,7 +71,7 @@ class Lake:
         """All rows of a dataset with its partition columns; None where the lake has no file."""
         if not self._exists():
             return None
-        schema = dataset(name).schema.add("asset_class", "string").add("year", "int")
+        schema = T.StructType([*dataset(name).schema, T.StructField("asset_class", T.StringType()), T.StructField("year", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(self.path).where(F.col("dataset") == name)
 
     def scan(self, name, source=None, asset_class=None, symbols=None, start=None, end=None, known_before=None, dedup=True, first_known=False, presented=False) -> DataFrame:

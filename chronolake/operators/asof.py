@@ -42,7 +42,7 @@ def asof(left: DataFrame, right: DataFrame, by: list, left_on: str, right_on: st
     on = own["_bucket"].eqNullSafe(carried["_b"])
     for c in by:
         on &= own[c].eqNullSafe(carried[f"_b_{c}"])
-    joined = own.join(carried, on, "left").withColumn("_hit", F.coalesce("_own", "_carried"))
+    joined = own.join(carried, on, "left").withColumn("_hit", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_carried")))
     return joined.select(*[F.col(f"_left._l_{c}").alias(c) for c in left.columns], *[F.col(f"_hit.v{i}").alias(f"{c}{suffix}") for i, c in enumerate(names)])
 
 
