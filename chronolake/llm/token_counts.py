@@ -171,7 +171,7 @@ def count_with_edits(df, tokenizer, edits=None, id_col="doc_id", text_col="text"
     runtime.ready(df.sparkSession)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(edits_col) if edits_col else F.lit(None)).cast(EDIT).alias("edits"))
     if edits is not None:
-        rows = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("seq").cast("long"), F.col("start").cast("long"), F.col("stop").cast("long"), F.col("text").cast("string")).alias("e"))
+        rows = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(c).cast("string" if c == "text" else "long").alias(c) for c in ("seq", "start", "stop", "text")]).alias("e"))
         lists = rows.groupBy("doc_id").agg(F.collect_list("e").alias("edits"))
         own = own.drop("edits").join(lists, "doc_id", "left").select("doc_id", "text", "edits")
     return own.mapInArrow(_count(tokenizer), SCHEMA)
