@@ -3,17 +3,19 @@
 A lookup is a union of both sides and one ordered pass (last or first non-null value).  The pass is
 partitioned by key and time bucket, so a key that holds a third of all rows is spread over its
 buckets; what a bucket inherits from those before it comes from one row a bucket, joined afterwards.
+`left` stands once in the plan, so joins can be nested.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days of a bucket.
+#: Days of a bucket, and the first and last bucket (1900 to 2100; times beyond lie in the edge buckets).
 BUCKET = 64
+FIRST, LAST = -400, 742
 
 
 def _bucket(column):
-    return F.floor(F.unix_date(F.col(column).cast("date")) / BUCKET)
+    return F.greatest(F.least(F.floor(F.unix_date(F.col(column).cast("date")) / BUCKET), F.lit(LAST)), F.lit(FIRST))
 
 
 def asof(left: DataFrame, right: DataFrame, by: list, left_on: str, right_on: str, values: list, direction: str = "backward", suffix: str = "") -> DataFrame:
@@ -35,10 +37,15 @@ def asof(left: DataFrame, right: DataFrame, by: list, left_on: str, right_on: st
     own = rows.withColumn("_own", F.last("_found", ignorenulls=True).over(inside)).where("_left IS NOT NULL")
     edge = F.min_by if forward else F.max_by
     ends = prices.withColumn("_bucket", _bucket("_t")).groupBy(*by, "_bucket").agg(edge("_found", "_t").alias("_end"))
-    wanted = own.select(*by, "_bucket").distinct().withColumn("_end", empty.cast(prices.schema["_found"].dataType))
-    both = ends.unionByName(wanted).groupBy(*by, "_bucket").agg(F.max("_end").alias("_end"))
-    across = Window.partitionBy(*by).orderBy(F.col("_bucket").desc() if forward else F.col("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.withColumn("_carried", F.last("_end", ignorenulls=True).over(across)).select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b"), "_carried")
+    # An end is what the buckets after it (before it, going forward) inherit, up to the next bucket that has prices.
+    across = Window.partitionBy(*by).orderBy("_bucket")
+    if forward:
+        reach = F.when(F.col("_bucket") > FIRST, F.sequence(F.coalesce(F.lag("_bucket").over(across), F.lit(FIRST)), F.col("_bucket") - 1))
+        ends = ends.withColumn("_reach", reach)
+    else:
+        reach = F.when(F.col("_bucket") < LAST, F.sequence(F.col("_bucket") + 1, F.coalesce(F.lead("_bucket").over(across), F.lit(LAST))))
+        ends = ends.withColumn("_reach", reach)
+    carried = ends.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.explode("_reach").alias("_b"), F.col("_end").alias("_carried"))
     on = own["_bucket"].eqNullSafe(carried["_b"])
     for c in by:
         on &= own[c].eqNullSafe(carried[f"_b_{c}"])
