@@ -81,6 +81,16 @@ def queries():
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op3_recompression": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+             m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+             c AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 50)) AS p FROM g JOIN m ON g.h = m.h WHERE g.doc_id > m.least),
+             n AS (SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id),
+             v AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+             k AS (SELECT v.doc_id, string_agg(v.word, ' ' ORDER BY v.p) AS kept FROM v LEFT JOIN c ON c.doc_id = v.doc_id AND c.p = v.p WHERE c.p IS NULL GROUP BY v.doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {FOLD} AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)

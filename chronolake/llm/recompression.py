@@ -50,8 +50,8 @@ def rounds(word, doc, many=ROUNDS):
         near_high = np.maximum.reduceat(high, first)
         many_one = last > first
         before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(name) - 1)
-        same_before = doc[start[before]] == doc[start[first]]
-        same_after = doc[start[after]] == doc[start[first]]
+        same_before = (first > 0) & (doc[start[before]] == doc[start[first]])
+        same_after = (last < len(name) - 1) & (doc[start[after]] == doc[start[first]])
         # The edge of a document has been looked at too: elsewhere the same words may go on.
         low_one = np.minimum(near_low, np.where(same_before, low[before], start[first] - 1))
         high_one = np.maximum(near_high, np.where(same_after, high[after], stop[last] + 1))

@@ -65,6 +65,20 @@ def test_recompression_names_are_the_same_in_all_copies():
     assert made[0] == made[1] and len(made[0]) > 20
 
 
+def test_equal_windows_have_equal_buckets_wherever_a_chunk_ends():
+    rng = random.Random(8)
+    tail = [f"w{rng.randrange(9)}" for _ in range(90)]
+    texts = [" ".join([f"x{rng.randrange(50)}" for _ in range(rng.randrange(9))] + tail) for _ in range(6)]
+    for find, cut, span in ((lambda d, b: recompression.find_runs(d, b, 20), str.split, 20), (lambda d, b: suffix_dedup.find_runs(d, b, 40, 12), list, 40)):
+        seen = {}
+        for size in (1, 10_000):  # each text alone, and all in one chunk
+            for i, j, data, bounds in bytesops.chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts)}), max_bytes=size):
+                for doc, pos, count, bucket, _ in zip(*find(data, bounds), strict=True):
+                    units = cut(texts[i + doc])
+                    for p in range(pos, pos + count):
+                        assert seen.setdefault(tuple(units[p : p + span]), bucket) == bucket
+
+
 def test_exact_groups(docs, rows):
     assert collected(exact_dedup.exact_groups(docs, block=16)) == brute.exact(rows)
 
