@@ -121,8 +121,8 @@ def idempotent_append(spark, sf_dir):
 
 
 @query("""
-    SELECT sum(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END) AS null_customer, sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS negative,
-           sum(CASE WHEN l.first_ship < o_orderdate THEN 1 ELSE 0 END) AS shipped_before_order, count(*) AS rows
+    SELECT count(CASE WHEN o_custkey IS NULL THEN 1 END) AS null_customer, count(CASE WHEN o_totalprice < 0 THEN 1 END) AS negative,
+           count(CASE WHEN l.first_ship < o_orderdate THEN 1 END) AS shipped_before_order, count(*) AS rows
     FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
 def validate_counts(spark, sf_dir):
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"))
@@ -459,7 +459,7 @@ def run_fold(spark, sf_dir):
 def top_per_group(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return shapes.top(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 4).withColumn("r", F.row_number().over(w))
+    return shapes.top(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 4).withColumn("r", F.row_number().over(w).cast("long"))
 
 
 @query("""
@@ -517,7 +517,7 @@ def latest_two_periods(spark, sf_dir):
 def window_functions(spark, sf_dir):
     table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
     return spark.sql("""
-        SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS nt,
+        SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS nt,
                round(percent_rank() OVER w, 6) AS pr, lead(o_orderkey) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS nxt,
                round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rolling
         FROM _orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)""")
