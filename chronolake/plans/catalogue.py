@@ -385,11 +385,12 @@ def _as_trades(spark, sf_dir):
 
 @query(None, ('day',))
 def portfolio_replay(spark, sf_dir):
-    """Daily returns of suppliers taken as filers, replayed at prices of the day (a fold; tested by brute force)."""
+    """Daily returns of suppliers taken as filers, replayed at prices of the day up to the last bar (a fold; tested by brute force)."""
     from chronolake.plans.portfolio import replay
 
-    trades = _as_trades(spark, sf_dir)
-    return replay(trades, prices(spark, sf_dir).select(F.col("l_partkey").cast("string").alias("symbol"), "day", "close"), dt.date(1996, 6, 30))
+    closes = prices(spark, sf_dir).select(F.col("l_partkey").cast("string").alias("symbol"), "day", "close")
+    last = table(spark, sf_dir, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
+    return replay(_as_trades(spark, sf_dir), closes, last or TODAY)
 
 
 @query(None)
