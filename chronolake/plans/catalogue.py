@@ -202,6 +202,19 @@ def carry_forward(spark, sf_dir):
     return asof(grid, p, ["l_partkey"], "grid", "day", ["close"]).where("day IS NOT NULL").select("l_partkey", "grid", "close")
 
 
+@query(f"""
+    WITH p AS ({_PRICES}), b AS (SELECT min(day) AS lo, max(day) AS hi FROM p),
+         w AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS grid FROM b),
+         g AS (SELECT l_partkey, grid FROM (SELECT DISTINCT l_partkey FROM p), w)
+    SELECT g.l_partkey, g.grid, p.close FROM g ASOF JOIN p ON g.l_partkey = p.l_partkey AND g.grid >= p.day""", ('grid',))
+def carry_forward_whole(spark, sf_dir):
+    """carry_forward for all parts, over the weeks from the first ship day to the last."""
+    p = prices(spark, sf_dir)
+    weeks = p.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("grid"))
+    grid = p.select("l_partkey").distinct().join(F.broadcast(weeks))
+    return asof(grid, p, ["l_partkey"], "grid", "day", ["close"]).where("day IS NOT NULL").select("l_partkey", "grid", "close")
+
+
 # Other joins ----------------------------------------------------------------------------------
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def orders_without_lines(spark, sf_dir):
@@ -235,6 +248,18 @@ def full_outer_coalesced(spark, sf_dir):
     return a.join(b, "k", "full")
 
 
+@query("""
+    WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2),
+         b AS (SELECT l_suppkey, l_partkey, count(*) AS m FROM lineitem WHERE l_quantity < 5 GROUP BY 1, 2)
+    SELECT l_suppkey, l_partkey, a.n, b.m FROM a FULL JOIN b USING (l_suppkey, l_partkey)""")
+def full_outer_whole(spark, sf_dir):
+    """Large and small lines of every supplier's parts; the sides differ by what the lines hold, not by their keys."""
+    li, keys = table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"]
+    a = li.where("l_quantity > 45").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    b = li.where("l_quantity < 5").groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    return a.join(b, keys, "full")
+
+
 @query("""
     WITH h AS (SELECT o_custkey AS k, min(o_orderdate) AS held FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
          f AS (SELECT o_custkey AS k, min(o_orderdate) AS fetched FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
