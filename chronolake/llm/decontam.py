@@ -13,6 +13,10 @@ The benchmark is broadcast only while it has at most BROADCAST_SHINGLES shingles
 a larger one is joined by shuffle.  Null texts and texts without words give no
 words, no hits and no items; repeated items count once for each distinct item_id;
 a null item_id still marks words but is not listed.
+
+A window must stand in one text: rows are told apart by doc_id and a hash of the text, so
+repeated rows count once and no window runs over two texts of one doc_id.  Rows of one
+doc_id then share their hits; rows with a null doc_id are documents of their own.
 """
 
 from pyspark.sql import functions as F
@@ -40,6 +44,11 @@ def shingles(column, size):
     return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(column, i - 1 + k) for k in range(size)]))
 
 
+def own(id_col="doc_id", text_col="text"):
+    """What a null id's row is told apart by: a hash of its text; null for rows that have an id."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string")))
+
+
 def _small(df, small):
     return F.broadcast(df) if small else df
 
@@ -53,7 +62,7 @@ def _windows(bench, item_col, text_col, window):
 
 
 def occurrences(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", broadcast_shingles=BROADCAST_SHINGLES):
-    """(occurrences (doc_id, start, length, window), items (window, item_id), documents (doc_id, n_words))."""
+    """(occurrences (doc_id, own, start, length, window), items (window, item_id), documents (doc_id, own, n_words)); own: see `own`."""
     spark = docs.sparkSession
     made = runtime.cut(_windows(bench, item_col, item_text_col, window), "windows")
     windows = made.select("window", "words").distinct().withColumn("size", F.when(F.size("words") > 1, 2).otherwise(1))
@@ -62,37 +71,44 @@ def occurrences(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", it
     distinct = parts.select("shingle", "size").distinct()
     sizes = {r["size"]: r["n"] for r in distinct.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = sum(sizes.values()) <= broadcast_shingles
-    texts = runtime.text_frame(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("w"))
-    counts = texts.select("doc_id", F.size("w").cast("long").alias("n_words"))
-    hits = spark.createDataFrame([], "doc_id long, shingle string, pos int")
+    texts = runtime.text_frame(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"), own().alias("own"))
+    counts = texts.select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
+    hits = spark.createDataFrame([], "doc_id long, body long, shingle string, pos int")
     for size in sorted(sizes):
-        tokens = texts.select("doc_id", F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
+        tokens = texts.select("doc_id", "body", F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
         hits = hits.unionByName(tokens.join(_small(distinct.where(F.col("size") == size).select("shingle"), small), "shingle", "left_semi"))
     hits = runtime.cut(hits, "hits")
     rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     # A window with a shingle that no document has occurs nowhere.
     ranked = parts.join(rarity, "shingle", "left").groupBy("window", "length", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"), F.count(F.lit(1)).alias("n"))
     prefix = runtime.cut(ranked.where("rarest.df > 0").select("window", "length", "n", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place")), "prefix")
-    likely = hits.join(_small(prefix, small), "shingle").select("doc_id", (F.col("pos") - F.col("place")).alias("start"), "window", "length", "n").where("start >= 0")
-    whole = likely.where("n = 1").select("doc_id", "start", "length", "window")
-    wanted = likely.where("n > 1").join(_small(parts.select("window", "place", "shingle"), small), "window").select("doc_id", "start", "length", "n", "window", (F.col("start") + F.col("place")).alias("pos"), "shingle")
-    found = wanted.join(hits.select("doc_id", "pos", "shingle").distinct(), ["doc_id", "pos", "shingle"], "left_semi")
-    proved = found.groupBy("doc_id", "start", "length", "n", "window").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("doc_id", "start", "length", "window")
-    return runtime.cut(whole.unionByName(proved).distinct(), "occurrences"), made.select("window", "item_id"), counts
+    # Distinct, since a repeated row gives each of its places twice.
+    likely = hits.join(_small(prefix, small), "shingle").select("doc_id", "body", (F.col("pos") - F.col("place")).alias("start"), "window", "length", "n").where("start >= 0").distinct()
+    place = ["doc_id", "body", "start", "length", "window"]
+    whole = likely.where("n = 1").select(place)
+    wanted = likely.where("n > 1").join(_small(parts.select("window", "place", "shingle"), small), "window").select(*place, "n", (F.col("start") + F.col("place")).alias("pos"), "shingle")
+    there = hits.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("pos").alias("_pos"), F.col("shingle").alias("_shingle")).distinct()
+    at = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")) & (F.col("pos") == F.col("_pos")) & (F.col("shingle") == F.col("_shingle"))
+    found = wanted.join(there, at, "left_semi")
+    proved = found.groupBy(*place, "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select(place)
+    marked = whole.unionByName(proved).select("doc_id", F.when(F.col("doc_id").isNull(), F.col("body")).alias("own"), "start", "length", "window").distinct()
+    return runtime.cut(marked, "occurrences"), made.select("window", "item_id"), counts
 
 
 def decontaminate(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", broadcast_shingles=BROADCAST_SHINGLES):
-    """doc_id, n_words, n_hit, n_items, items (sorted), spans (struct start, stop of each occurrence), contaminated: one row for each distinct doc_id.
+    """doc_id, n_words, n_hit, n_items, items (sorted), spans (struct start, stop of each occurrence), contaminated: one row for each row of docs.
 
-    Rows that share a doc_id are taken as one document with their words at the same places.
+    Rows that share a doc_id share their hits.
     """
     found, items, counts = occurrences(docs, bench, window, id_col, text_col, item_col, item_text_col, broadcast_shingles)
-    covered = found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
-    hit = covered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = found.select("doc_id", "window").distinct().join(items, "window").groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
-    per = hit.join(named, "doc_id").join(spans, "doc_id")
-    return counts.join(per, "doc_id", "left").select(
+    # A struct is equal to another with nulls at the same fields, so null ids meet in plain joins.
+    key = F.struct("doc_id", "own").alias("key")
+    covered = found.select(key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
+    hit = covered.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    named = found.select(key, "window").distinct().join(items, "window").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    spans = found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
+    per = hit.join(named, "key").join(spans, "key")
+    return counts.select(key, "doc_id", "n_words").join(per, "key", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

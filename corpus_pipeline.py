@@ -33,7 +33,8 @@ def drop_near_copies(spark, docs, sf_dir):
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold no window of the benchmark."""
     found = decontam.occurrences(docs, table(spark, sf_dir, "benchmark"))[0]
-    return docs.join(found.select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
+    hit = found.select(F.struct("doc_id", "own").alias("_hit")).distinct()
+    return docs.join(hit, F.struct(F.col("doc_id"), decontam.own().alias("own")) == F.col("_hit"), "left_anti")
 
 
 def pack(spark, docs, sf_dir):

@@ -146,6 +146,30 @@ def test_decontamination(spark, docs, rows):
         assert got == brute.decontaminated(plain, bench)
 
 
+def test_decontamination_of_repeated_rows_and_null_ids(spark, rows):
+    rng = random.Random(1)
+    texts = [t for _, t in rows if t and len(t) > 300]
+    bench = [(1, rng.choice(texts)[40:160]), (2, rows[4][1][:200]), (3, rows[7][1][:150]), (6, "not in any document at all"), (7, "THE of"), (8, "one two three four")]
+    once = [*rows[:-1], rows[9], rows[9], (None, rows[4][1]), (None, rows[4][1]), (None, "all clean"), (None, "say the of")]
+    by_id = lambda got: sorted(got, key=lambda r: (r[0] is None, str(r)))
+    for limit in (100_000, 0):
+        check = lambda docs: decontam.decontaminate(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(bench, "item_id long, text string"), broadcast_shingles=limit).collect()  # noqa: B023, E731
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in check(once)]
+        want = brute_decontaminated(once, bench)
+        assert by_id(got) == by_id(want) and sum(r[-1] for r in want if r[0] is None) == 3 and any(r[0] == rows[4][0] and r[-1] for r in want)
+        # Two texts under one id: no window runs over both, and a hit of one is a hit of the id.
+        got = check([(1, "one two x x"), (1, "y y three four"), (2, "one two three four"), (2, "other")])
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got) == [(1, 4, 0, False), (1, 4, 0, False), (2, 1, 4, True), (2, 4, 4, True)]
+        got = check(rows)
+        assert {r.doc_id for r in got if r.contaminated} == {r[0] for r in brute.decontaminated(rows, bench) if r[-1]} and len(got) == len(rows)
+
+
+def brute_decontaminated(rows, bench):
+    """brute.decontaminated, which sorts by ids, of rows with null ids."""
+    found = brute.decontaminated([(k, t) for k, (_, t) in enumerate(rows)], bench)
+    return [(rows[r[0]][0], *r[1:]) for r in found]
+
+
 def path():
     return queries.tokenizer_path()
 
