@@ -266,6 +266,11 @@ def near_groups(df, id_col="doc_id", text_col="text", size=SHINGLE, threshold=TH
 
 
 def drop_near(df, id_col="doc_id", text_col="text"):
-    """df with one row set (that of the least doc_id) of each group."""
-    kept = near_groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("_keep"), "left_semi")
+    """df with one row set (that of the least doc_id) of each group.
+
+    Rows with a null id are documents of their own that come after all ids (before them where the largest id leaves no
+    room for their numbers, see runtime.numbered): one goes only if another row of its group stays.
+    """
+    rows, _ = runtime.numbered(df, id_col)
+    kept = near_groups(rows, "_key", text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    return rows.join(kept, F.col("_key") == F.col("_keep"), "left_semi").select(*df.columns)

@@ -66,3 +66,25 @@ def text_frame(df, id_col="doc_id", text_col="text"):
     from pyspark.sql import functions as F
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def numbered(df, id_col="doc_id", key="_key"):
+    """(df with a long column `key`, condition on `key`): the id, or where that is null a number of the row's own that is
+    no row's id, and for which keys that is so.
+
+    The numbers lie beyond the largest id (below the least where there is more room); only rows with a null id are written.
+    """
+    from pyspark.sql import functions as F
+
+    own = F.col(id_col).cast("long")
+    top, least, nulls = df.agg(F.max(own), F.min(own), F.count_if(own.isNull())).first()
+    if not nulls:
+        return df.withColumn(key, own), F.lit(False)
+    number = F.monotonically_increasing_id()
+    if top is None:
+        made, nameless = number, F.lit(True)
+    elif (1 << 63) - 1 - top >= min(least + (1 << 63), 1 << 62):
+        made, nameless = number + F.lit(top + 1).cast("long"), F.col(key) > F.lit(top)
+    else:
+        made, nameless = F.lit(least - 1).cast("long") - number, F.col(key) < F.lit(least)
+    return df.where(own.isNotNull()).withColumn(key, own).unionByName(cut(df.where(own.isNull()).withColumn(key, made), "nameless")), nameless

@@ -350,6 +350,25 @@ def test_empty_tables(spark, empty):
     assert quality.score(empty, quality.fit(empty, empty_labels)).count() == 0
 
 
+def test_drop_near_keeps_null_ids(spark):
+    rng = random.Random(12)
+    text = lambda: [f"w{rng.randrange(900)}" for _ in range(80)]
+    a, b, clean = text(), text(), text()
+    rows = [(5, " ".join(a)), (None, " ".join([*a, "x"])), (None, " ".join(b)), (None, " ".join([*b, "y"])), (None, " ".join(clean)), (None, None), (7, "the end")]
+    kept = near_dedup.drop_near(spark.createDataFrame(rows, DOCS)).collect()
+    texts = [r.text for r in kept]
+    assert {(5, rows[0][1]), (None, rows[4][1]), (None, None), rows[6]} <= {tuple(r) for r in kept} and len(kept) == 5
+    assert sum(t in texts for t in (rows[2][1], rows[3][1])) == 1
+
+
+@pytest.mark.parametrize("ids", [[3, 8, None, None], [2**63 - 1, None, 1, None], [None, None, None]])
+def test_numbers_of_null_ids_are_no_ids(spark, ids):
+    df, nameless = runtime.numbered(spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], DOCS).repartition(2), "doc_id", "doc_id")
+    got = df.withColumn("nameless", nameless).collect()
+    assert len({r.doc_id for r in got}) == len(ids) and {(r.text, r.nameless) for r in got} == {(str(k), i is None) for k, i in enumerate(ids)}
+    assert all(r.doc_id == ids[int(r.text)] for r in got if not r.nameless)
+
+
 def test_native_operators_run_no_python(spark, docs):
     made = [exact_dedup.exact_groups(docs), decontam.decontaminate(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))]
     for df in made:

@@ -30,3 +30,12 @@ def test_stages_against_brute_force(spark):
     pieces = stages[4](spark, clean, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == want
     assert pieces.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_null_ids_go_through_the_stages_after_the_classifier(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (None, " ".join(f"b{i}" for i in range(40))), (None, " ".join(f"c{i}" for i in range(40)) + " " + bench)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF).cache()
+        assert {tuple(r) for r in docs.collect()} == set(rows if name != "decontamination" else rows[:2])
