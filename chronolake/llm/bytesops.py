@@ -92,8 +92,8 @@ def chunks(batch, text_col="text", max_bytes=1 << 18):
 
 
 def longs(batch, name):
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    """An Arrow column, nulls and all: NumPy has no null among integers."""
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
 
 
 def word_spans(data, bounds, separator):

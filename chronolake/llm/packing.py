@@ -80,10 +80,11 @@ def _pack(path, capacity, open_bins, with_ids):
                 pieces = []
                 for k, (a, b) in enumerate(zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)):
                     own = np.append(flat[a:b], np.uint32(0)).astype("<u4")
-                    pieces += [(int(ids[i + k]), p, s, n, own[s : s + n]) for p, (s, n) in enumerate(cuts(len(own), capacity))]
+                    pieces += [(i + k, p, s, n, own[s : s + n]) for p, (s, n) in enumerate(cuts(len(own), capacity))]
                 pieces.sort(key=lambda x: -x[3])
-                rows = [(d, p, s, n, zlib.crc32(own.tobytes()), *packer.place(n)) for d, p, s, n, own in pieces]
+                rows = [(k, p, s, n, zlib.crc32(own.tobytes()), *packer.place(n)) for k, p, s, n, own in pieces]
                 out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 5), strict=True)]
+                out[0] = ids.take(out[0])
                 out[5] = pa.array(np.asarray(out[5]) + base)
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
                 if with_ids:

@@ -13,8 +13,8 @@ themselves where none fits) with the least name; its bucket names all words of t
 Shared buckets reveal repeats and the words around them verify them (see repeats).
 
 Null texts and texts without words have none; shorter texts than SPAN words keep all.  Rows
-that share a doc_id share their intervals and are no smaller than each other.  An empty table
-gives no rows.
+that share a doc_id share their intervals and are no smaller than each other; a row with a null
+doc_id is neither smaller nor larger than any and keeps all.  An empty table gives no rows.
 """
 
 import hashlib

@@ -34,7 +34,7 @@ def _runs(find):
             for i, j, data, bounds in B.chunks(batch):
                 doc, pos, count, bucket, name = find(data, bounds)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(name.view(np.int64)), pa.array(ids[i + doc]), pa.array(pos, pa.int64()), pa.array(count, pa.int64())], ["bucket", "name", "doc_id", "pos", "len"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(name.view(np.int64)), ids.take(pa.array(i + doc)), pa.array(pos, pa.int64()), pa.array(count, pa.int64())], ["bucket", "name", "doc_id", "pos", "len"])
 
     return run
 

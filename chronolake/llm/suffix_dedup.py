@@ -10,14 +10,15 @@ the runs at hand get q-gram buckets of STEP bytes which are refined by sorting o
 buckets of the one before and doubles the length until SPAN bytes are told apart.
 
 Null and empty texts, and texts shorter than SPAN, lose nothing.  Copies of a text of SPAN
-bytes or more lose all of it, as do repeated rows.  Rows that share a doc_id share their intervals.
-An empty table gives no rows.
+bytes or more lose all of it, as do repeated rows.  Rows that share a doc_id share their intervals;
+rows with a null doc_id are documents of their own.  An empty table gives no rows.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chronolake.llm import bytesops as B
 from chronolake.llm import repeats, runtime
@@ -145,8 +146,9 @@ def _shape(with_text):
 def dedup(df, id_col="doc_id", text_col="text", span=SPAN, with_text=False, hot=repeats.HOT):
     """SCHEMA for every row; with_text also kept (bytes that stay) and spans (start, stop of what goes)."""
     runtime.ready(df.sparkSession)
-    docs = runtime.text_frame(df, id_col, text_col)
+    docs, nameless = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "doc_id")
     q = min(Q, span // 2)
     find = lambda data, bounds: find_runs(data, bounds, span, q)
     found = repeats.repeated(docs, find, _locate(span), _compare(span, min(STEP, span)), _explode(span), span, False, hot)
-    return repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))
+    out = repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))
+    return out.withColumn("doc_id", F.when(~nameless, F.col("doc_id")))

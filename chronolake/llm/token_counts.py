@@ -145,7 +145,7 @@ def _count(path):
                 edges = np.searchsorted(doc, np.arange(j - i + 1))
                 raw = data.tobytes()
                 trees = [TokenTree(raw[bounds[k] : bounds[k + 1]], lengths[edges[k] : edges[k + 1]], size[edges[k] : edges[k + 1]]) for k in range(j - i)]
-                rows = [[int(ids[i + k]), t.n_bytes, int(edges[k + 1] - edges[k]), t.n_tokens, 0, 0] for k, t in enumerate(trees)]
+                rows = [[ids[i + k].as_py(), t.n_bytes, int(edges[k + 1] - edges[k]), t.n_tokens, 0, 0] for k, t in enumerate(trees)]
                 queues = [sorted(edits[i + k] or [], key=lambda e: e["seq"]) for k in range(j - i)]
                 for turn in range(max(map(len, queues), default=0)):
                     now = [k for k, q in enumerate(queues) if len(q) > turn]

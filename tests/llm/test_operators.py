@@ -350,6 +350,24 @@ def test_empty_tables(spark, empty):
     assert quality.score(empty, quality.fit(empty, empty_labels)).count() == 0
 
 
+def test_null_ids_beside_long_texts(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    shared, other = text(120), text(90)
+    rows = [(1, text(30) + " " + shared), (2, shared + " " + text(20)), (None, text(9) + " " + shared), (None, other), (3, other + " z"), (None, text(80)), (-4, "short"), (None, None)]
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    last = lambda found: sorted(found, key=lambda r: (r[0] is None, str(r)))
+    want = [(rows[k][0], *r) for k, *r in brute.suffix([(k, t) for k, (_, t) in enumerate(rows)], 200)]
+    assert last(tuple(r) for r in suffix_dedup.dedup(df).collect()) == last(want) and sum(r[2] > 0 for r in want) == 5
+    alone = {t: tuple(brute.recompression([(0, t)], 50)[0][1:]) for i, t in rows if i is None}
+    named = brute.recompression([r for r in rows if r[0] is not None], 50)
+    assert last(tuple(r) for r in recompression.dedup(df).collect()) == last([*named, *((None, *x) for x in alone.values())])
+    ids = reference_ids([t for _, t in rows])
+    assert last((r.doc_id, r.n_tokens) for r in token_counts.count_with_edits(df, path()).collect()) == last((i, len(x)) for (i, _), x in zip(rows, ids, strict=True))
+    packed = packing.pack(df, path(), capacity=2048).collect()
+    assert last((r.doc_id, r.length) for r in packed) == last((i, len(x) + 1) for (i, _), x in zip(rows, ids, strict=True))
+
+
 def test_drop_near_keeps_null_ids(spark):
     rng = random.Random(12)
     text = lambda: [f"w{rng.randrange(900)}" for _ in range(80)]

@@ -39,3 +39,4 @@ def test_null_ids_go_through_the_stages_after_the_classifier(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         docs = stage(spark, docs, SF).cache()
         assert {tuple(r) for r in docs.collect()} == set(rows if name != "decontamination" else rows[:2])
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.pack(spark, docs, SF).collect()) == ["1", "None"]
