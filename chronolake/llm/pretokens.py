@@ -88,8 +88,16 @@ def _encoder(path):
     return _STATE["bpe", path]
 
 
+def _same(data, begin, length, other, other_begin, other_length):
+    """Whether all ranges of `data` equal those of `other`, byte for byte."""
+    if not np.array_equal(length, other_length):
+        return False
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    return np.array_equal(data[np.repeat(begin, length) + inside], other[np.repeat(other_begin, length) + inside])
+
+
 class Cache:
-    """Ids of distinct pre-tokens, flat, found by the 64-bit hash of their bytes."""
+    """Ids of distinct pre-tokens, flat, found by a 64-bit hash of their bytes and held against the bytes themselves."""
 
     def __init__(self, path):
         self.path = path
@@ -97,52 +105,82 @@ class Cache:
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        #: Of each key: offset and count in ids, offset and count in bytes.
+        self.at, self.size, self.begin, self.length = (np.zeros(0, np.int64) for _ in range(4))
         self.ids = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)
 
-    def find(self, keys, pieces_of):
-        """(offset, count) of each sorted distinct key; pieces_of(indexes) gives the strings of those not known yet."""
+    def find(self, keys, data, begin, length):
+        """(offset, count) in ids of each sorted distinct key, whose pre-token is data[begin : begin + length]; None if a key stands for two."""
         if len(self.ids) > CACHE_TOKENS:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         known = place < len(self.keys)
         known[known] = self.keys[place[known]] == keys[known]
+        old = place[known]
+        if not _same(data, begin[known], length[known], self.bytes, self.begin[old], self.length[old]):
+            return None
         new = np.flatnonzero(~known)
         if len(new):
-            encoded = [x.ids for x in _encoder(self.path).encode_batch(pieces_of(new), add_special_tokens=False)]
+            pieces = [data[a : a + n].tobytes() for a, n in zip(begin[new].tolist(), length[new].tolist(), strict=True)]
+            encoded = ids_of(pieces, self.path)
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
-            at = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids = np.concatenate([self.ids, flat])
             where = np.searchsorted(self.keys, keys[new])
+            made = (len(self.ids) + np.cumsum(sizes) - sizes, sizes, len(self.bytes) + np.cumsum(length[new]) - length[new], length[new])
+            self.at, self.size, self.begin, self.length = (np.insert(x, where, y) for x, y in zip((self.at, self.size, self.begin, self.length), made, strict=True))
             self.keys = np.insert(self.keys, where, keys[new])
-            self.at = np.insert(self.at, where, at)
-            self.size = np.insert(self.size, where, sizes)
+            self.ids = np.concatenate([self.ids, flat])
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
             place = np.searchsorted(self.keys, keys)
         return self.at[place], self.size[place]
 
 
+def ids_of(pieces, path):
+    """Ids of each pre-token (bytes)."""
+    return [x.ids for x in _encoder(path).encode_batch([x.decode() for x in pieces], add_special_tokens=False)]
+
+
 def cache(path):
     if ("cache", path) not in _STATE:
         _STATE["cache", path] = Cache(path)
     return _STATE["cache", path]
 
 
+def keys_of(data, begin, end):
+    roll = B.roller(11)
+    return roll.ranges(roll.prefix(data), begin, end)
+
+
 def encode(data, bounds, path):
     """(first byte of each pre-token, its document, its offset in flat, its number of ids, flat ids store)."""
     begin = starts(data, bounds)
-    end = np.append(begin[1:], len(data))
+    end = np.append(begin[1:], len(data))[: len(begin)]
     doc = np.searchsorted(bounds, begin, side="right") - 1
-    roll = B.roller(11)
-    keys = roll.ranges(roll.prefix(data), begin, end)
-    distinct, sample, back = np.unique(keys, return_index=True, return_inverse=True)
+    length = end - begin
+    distinct, sample, back = np.unique(keys_of(data, begin, end), return_index=True, return_inverse=True)
     store = cache(path)
-    raw = data.tobytes()
-    at, size = store.find(distinct, lambda new: [raw[i:j].decode() for i, j in zip(begin[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+    found = None
+    # All pre-tokens of a key are the same bytes, here and in the cache, or the keys are not used.
+    if _same(data, begin, length, data, begin[sample][back], length[sample][back]):
+        found = store.find(distinct, data, begin[sample], length[sample])
+    if found is None:
+        return begin, doc, *_plainly(data, begin, end, path)
+    at, size = found
     return begin, doc, at[back], size[back], store.ids
 
 
+def _plainly(data, begin, end, path):
+    """Offsets, counts and ids without keys: pre-tokens told apart by their bytes."""
+    raw = data.tobytes()
+    number = {}
+    back = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+    encoded = ids_of(list(number), path)
+    size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum()))
+    return (np.cumsum(size) - size)[back], size[back], ids
+
+
 def flat_ids(at, size, ids):
     """The ids of pre-tokens at offsets `at`, one after the other."""
     total = int(size.sum())

@@ -59,7 +59,7 @@ def op4_exact_dedup(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     """Counts of every document, and after two edits of it: a note put after its first line, then its first 40 bytes cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    half = F.octet_length(F.substring_index("text", "\n", 1)).cast("long")
+    half = F.octet_length(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).cast("long")
     edit = lambda seq, a, b, text: F.struct(F.lit(seq).cast("long").alias("seq"), a.alias("start"), b.alias("stop"), F.lit(text).alias("text"))
     edits = F.array(edit(0, half, half, " (edited note) "), edit(1, F.lit(0).cast("long"), F.lit(40).cast("long"), ""))
     return token_counts.count_with_edits(docs.withColumn("_edits", edits), tokenizer_path(), edits_col="_edits")

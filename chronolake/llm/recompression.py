@@ -10,17 +10,20 @@ every document and no table of names has to be passed around.  With each symbol
 that its making has looked at; a symbol whose stretch lies in a window is the same in all
 copies of that window.  A window's anchor is such a symbol of the highest level kept (of the words
 themselves where none fits) with the least name; its bucket names all words of the stretch.
-Shared buckets reveal repeats and the words around them verify them (see repeats).
+Shared buckets reveal repeats, and rounds over the cluster that name more and more of the words around them
+verify them (see repeats).
 
 Null texts and texts without words have none; shorter texts than SPAN words keep all.  Rows
-that share a doc_id share their intervals and are no smaller than each other; a row with a null
+that share a doc_id are told apart and are no smaller than each other; a row with a null
 doc_id is neither smaller nor larger than any and keeps all.  An empty table gives no rows.
+Other columns of the input are not read.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chronolake.llm import bytesops as B
 from chronolake.llm import repeats, runtime
@@ -28,6 +31,8 @@ from chronolake.llm import repeats, runtime
 SPAN = 50
 #: Rounds of naming runs and pairs.
 ROUNDS = 4
+#: Anchor places in a cell of each round of refinement.
+WIDTHS = (8, 2, 1)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 
@@ -116,12 +121,12 @@ PLACE = 28
 
 
 def find_runs(data, bounds, span=SPAN, many=ROUNDS):
-    """(document, first window, windows, bucket, name) of the runs of a chunk, in words."""
+    """(document, first window, windows, place of the anchor in the first window, bucket, two names) of the runs of a chunk, in words."""
     start, end, doc = B.word_spans(data, bounds, B.BLANKS)
     none = np.zeros(0, np.int64)
     n = len(start)
     if n < span:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, *(none.view(np.uint64),) * 3
     roll = B.roller(61)
     word = roll.ranges(roll.prefix(data), start, end)
     words = np.bincount(doc, minlength=len(bounds) - 1)
@@ -149,71 +154,38 @@ def find_runs(data, bounds, span=SPAN, many=ROUNDS):
     s = np.flatnonzero(fits & (edge | ~np.append(False, fits[:-1])))
     e = np.flatnonzero(fits & (np.append(edge[1:], True) | ~np.append(fits[1:], False)))
     bucket = B.mix(own.ranges(prefix, a[s], z[s]) + (anchor[s] - a[s]).astype(np.uint64) * _A + (z[s] - a[s]).astype(np.uint64) * _B)
-    other = B.roller(63)
-    made = B.mix(other.ranges(other.prefix_of(word), s, e + span) + (anchor[s] - s).astype(np.uint64) * _A)
-    return doc[s], s - first[doc[s]], e - s + 1, bucket, made
+    names = []
+    for seed in (63, 64):  # each from word hashes of its own
+        other, over = B.roller(seed), B.roller(seed + 2)
+        names.append(over.ranges(over.prefix_of(other.ranges(other.prefix(data), start, end)), s, e + span))
+    return doc[s], s - first[doc[s]], e - s + 1, anchor[s] - s, bucket, *names
 
 
-def _locate(span):
-    def run(data, bounds, owner, pos, count):
-        start, end, doc = B.word_spans(data, bounds, B.BLANKS)
-        words = np.bincount(doc, minlength=len(bounds) - 1)
-        first = (np.cumsum(words) - words)[owner] + pos
-        # Rows that share a doc_id share their list; runs past the end of one are cut to it.
-        stop = np.minimum(first + count - 1 + span, (np.cumsum(words))[owner])
-        ok = first < stop
-        first = np.where(ok, first, 0)
-        if not len(start):
-            return np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
-        return np.where(ok, start[first], 0), np.where(ok, end[np.maximum(stop, 1) - 1], 0)
+def _parts(span, many=1 << 15):
+    """A long document's overlapping parts: (words before, bytes)."""
 
-    return run
+    def cut(data):
+        start, end, _ = B.word_spans(data, np.array([0, len(data)]), B.BLANKS)
+        for a in range(0, max(len(start) - span + 1, 0), many):
+            yield a, data[start[a] : end[min(a + many + span - 1, len(end)) - 1]]
 
+    return cut
 
-def _windows(table, span):
-    """(run, place, hash, hash) of all windows of the bodies."""
-    data, bounds = repeats.bodies(table)
-    start, end, owner = B.word_spans(data, bounds, B.BLANKS)
-    at = np.arange(max(len(start) - span + 1, 0))
-    words = np.bincount(owner, minlength=table.num_rows)
-    first = np.cumsum(words) - words
-    fits = at + span <= (first + words)[owner[: len(at)]]
-    at = at[fits]
-    keys = []
-    for seed in (64, 65):
-        roll = B.roller(seed)
-        word = roll.ranges(roll.prefix(data), start, end)
-        keys.append(roll.ranges(roll.prefix_of(word), at, at + span))
-    return owner[at], at - first[owner[at]], *keys
 
+def _bodies(span):
+    """The words of runs, joined by one space."""
 
-def _compare(span):
-    def run(table):
-        owner, place, x, y = _windows(table, span)
-        if not len(owner):
-            return
-        ids = table.column("doc_id").to_numpy()[owner]
-        order = np.lexsort((ids, y, x))
-        new = ~B.same_as_previous(x[order], y[order])
-        least = np.empty(len(order), np.int64)
-        least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        yield repeats.spread(owner, ids > least, table.column("doc_id").to_numpy(), table.column("pos").to_numpy()[owner] + place, span)
+    def of(data):
+        start, end, _ = B.word_spans(data, np.array([0, len(data)]), B.BLANKS)
+        raw = data.tobytes()
+        return lambda pos, count: b" ".join(raw[start[k] : end[k]] for k in range(pos, pos + count - 1 + span)).decode()
 
-    return run
+    return of
 
 
-def _explode(span):
-    def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for i in range(0, table.num_rows, 512):
-                part = table.slice(i, 512)
-                owner, place, x, y = _windows(part, span)
-                get = lambda c: part.column(c).to_numpy()[owner]  # noqa: B023, E731
-                columns = [x.view(np.int64), y.view(np.int64), get("doc_id"), get("pos") + place, get("label"), get("name")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "doc_id", "pos", "label", "name"])
-
-    return run
+def _piece(body, start, many):
+    """`many` words of body from place `start`."""
+    return F.array_join(F.slice(F.split(body, " "), (start + 1).cast("int"), many.cast("int")), " ")
 
 
 def _shape(with_text):
@@ -251,10 +223,10 @@ def _shape(with_text):
     return run
 
 
-def dedup(df, id_col="doc_id", text_col="text", span=SPAN, many=ROUNDS, with_text=False, hot=repeats.HOT):
+def dedup(df, id_col="doc_id", text_col="text", span=SPAN, many=ROUNDS, with_text=False, widths=WIDTHS):
     """SCHEMA for every row; with_text also kept (words that stay, joined by a space) and spans (in words)."""
     runtime.ready(df.sparkSession)
-    docs = runtime.text_frame(df, id_col, text_col)
+    docs, _ = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "key", repeated=True)
     find = lambda data, bounds: find_runs(data, bounds, span, many)
-    found = repeats.repeated(docs, find, _locate(span), _compare(span), _explode(span), span, True, hot)
+    found = repeats.repeated(docs, find, _parts(span), _bodies(span), pa.string(), _piece, span, [min(w, span) for w in widths], True)
     return repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))

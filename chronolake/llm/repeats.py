@@ -1,175 +1,164 @@
 """Repeated windows of fixed length, found through anchors: what the two substring dedups share.
 
 A window's anchor is a place inside it that its content alone determines, so equal windows
-have their anchors at equal offsets.  Consecutive windows of a document with the same
-anchor are one run; a run has a bucket (the name of the content at its anchor) and a name (of all its content).
-
-1. Buckets are counted; a run that is alone in its bucket has no repeated window.
-2. Runs of shared buckets are counted by name.  Runs of equal names are equal in all windows.
-3. In buckets that hold several names, one run of each name (and each run that the rule may still
-   change) is compared window by window: small buckets in one task each, buckets of more than
-   HOT runs window by window over the cluster.
-
-Names are 64-bit hashes; a name only counts together with its bucket's (128 bits).
+have their anchors at equal places.  Consecutive windows of a document with the same
+anchor are one run; a run has a first bucket (the name of the content at its anchor).
+
+1. First buckets are counted; a run that is alone in its bucket has no repeated window.
+2. Runs of shared buckets are named by all their content.  Runs of equal names are equal in all windows.
+3. In buckets that hold several names, one run of each name (and each run that the rule may still change)
+   is refined in rounds.  In each round a run's windows fall into cells by the place of the anchor, of half
+   the width or less of the cells before.  A cell gets two new buckets, named by content at other offsets from the
+   anchor: its core (what all windows of such a cell hold) and its whole (what its own windows cover).
+   A cell alone in its core has no repeated window and goes; cells of one whole are equal in all
+   windows and are decided together, one standing for all; only the others' cells, under the
+   buckets that they have by then, are split in the next round.  Cells of one window are the last: core and whole
+   are the window itself.
+
+All rounds are counts by bucket, partly made before the shuffle, and joins with the counts.  So a bucket of any size
+takes the same way, and no task gathers a bucket.  Names and buckets are 122 or 128 bits of hashes in random or seeded bases.
 """
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytesops as B
 from chronolake.llm import runtime
 
-#: Runs of a bucket that one task compares at most: some 3 MB of text.
-HOT = 8192
-RUN = "bucket long, name long, doc_id long, pos long, len long"
-TEXTS = "bucket long, size long, name long, doc_id long, pos long, len long, label long, body binary"
+RUN = "bucket long, name long, more long, key long, doc_id long, pos long, len long, lead long"
+NAME = ["bucket", "name", "more", "len", "lead"]
+#: Bytes of a document that are taken at once: longer ones are cut into parts that overlap by a window less one unit.
+PART = 1 << 18
+
+
+def _found(batch, find, parts):
+    """(row, find's arrays with places in the document) of a batch, chunk by chunk, long documents part by part."""
+    for i, j, data, bounds in B.chunks(batch, max_bytes=PART):
+        if j - i > 1 or len(data) <= 2 * PART:
+            doc, pos, *rest = find(data, bounds)
+            yield i + doc, pos, *rest
+        else:
+            for before, part in parts(data):
+                doc, pos, *rest = find(part, np.array([0, len(part)]))
+                yield i + doc, pos + before, *rest
 
 
-def _runs(find):
+def _runs(find, parts):
     def run(batches):
         for batch in batches:
-            ids = B.longs(batch, "doc_id")
-            for i, j, data, bounds in B.chunks(batch):
-                doc, pos, count, bucket, name = find(data, bounds)
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(name.view(np.int64)), ids.take(pa.array(i + doc)), pa.array(pos, pa.int64()), pa.array(count, pa.int64())], ["bucket", "name", "doc_id", "pos", "len"])
+            ids = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "doc_id")]
+            for row, pos, count, lead, bucket, name, more in _found(batch, find, parts):
+                if len(row):
+                    at = pa.array(row)
+                    hashes = [pa.array(x.view(np.int64)) for x in (bucket, name, more)]
+                    yield pa.RecordBatch.from_arrays([*hashes, *(c.take(at) for c in ids), *(pa.array(x, pa.int64()) for x in (pos, count, lead))], [x.split()[0] for x in RUN.split(", ")])
 
     return run
 
 
-def _buckets(find):
+def _buckets(find, parts):
     def run(batches):
         for batch in batches:
-            for _, _, data, bounds in B.chunks(batch):
-                _, _, _, bucket, _ = find(data, bounds)
+            for _, _, _, _, bucket, _, _ in _found(batch, find, parts):
                 if len(bucket):
                     yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64))], ["bucket"])
 
     return run
 
 
-def _cut_out(locate):
-    """Bytes of the runs listed with each document."""
+def _cut_out(body_of, kind):
+    """The content of the runs listed with each document; body_of(data of a document) answers (pos, len) with it."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("runs"))
             for i, j, data, bounds in B.chunks(batch):
                 part = lists.slice(i, j - i)
-                rows = part.flatten()
-                owner = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
+                rows, edges = part.flatten(), (part.offsets.to_numpy() - part.offsets[0].as_py()).tolist()
                 get = {f.name: rows.field(f.name) for f in rows.type}
-                start, stop = locate(data, bounds, owner, get["pos"].to_numpy(), get["len"].to_numpy())
-                raw = data.tobytes()
-                body = pa.array([raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
-                ids = batch.column(0).slice(i, j - i).take(pa.array(owner))
-                columns = [get["bucket"], get["size"], get["name"], ids, get["pos"], get["len"], get["label"], body]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TEXTS.split(", ")])
-
-    return run
-
-
-#: Bytes of bodies that are compared at once, but for a bucket that has more (at most HOT runs).
-AT_ONCE = 1 << 18
-
-
-def _small(compare):
-    """Whole buckets, which arrive sorted, go to `compare`, several at a time."""
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            bucket = held.column("bucket").to_numpy()
-            whole = int(np.searchsorted(bucket, bucket[-1]))
-            if whole:
-                yield from _parts(held.slice(0, whole), compare)
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from _parts(held, compare)
-
-    def _parts(table, compare):
-        bucket = table.column("bucket").to_numpy()
-        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("body")).to_numpy())])[edges]
-        i = 0
-        while i < len(edges) - 1:
-            j = max(int(np.searchsorted(sizes, sizes[i] + AT_ONCE, side="right")) - 1, i + 1)
-            yield from compare(table.slice(edges[i], edges[j] - edges[i]))
-            i = j
+                pos, count = get["pos"].to_numpy().tolist(), get["len"].to_numpy().tolist()
+                made = []
+                for k in range(j - i):
+                    own = body_of(data[bounds[k] : bounds[k + 1]])
+                    made += [own(pos[r], count[r]) for r in range(edges[k], edges[k + 1])]
+                key = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(edges))))
+                yield pa.RecordBatch.from_arrays([key, *(get[c] for c in ("doc_id", "pos", "len", "lead", "n")), pa.array(made, kind)], ["key", "doc_id", "pos", "len", "lead", "n", "body"])
 
     return run
 
 
-def bodies(table):
-    """(concatenated bytes, bounds) of the body column."""
-    column = table.column("body").combine_chunks().cast(pa.large_binary())
-    buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def intervals(doc_ids, start, stop):
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, start, stop)], ["doc_id", "start", "stop"])
-
-
-def spread(offset, hit, doc_ids, start, span):
-    """Maximal runs of hits among consecutive windows as intervals; offset: a window's run."""
-    new = hit.copy()
-    new[1:] &= ~hit[:-1] | (offset[1:] != offset[:-1])
-    last = hit.copy()
-    last[:-1] &= ~hit[1:] | (offset[1:] != offset[:-1])
-    first, last = np.flatnonzero(new), np.flatnonzero(last)
-    return intervals(doc_ids[offset[first]], start[first], start[last] + span)
-
-
-def repeated(docs, find, locate, compare, explode, span, by_document, hot=HOT):
-    """Intervals (doc_id, start, stop) of the windows that the rule removes, in units of the runs.
+def _cells(live, piece, span, width):
+    """The cells of rows (eid, low, high, n, key, doc_id, pos, lead, body): windows whose anchor place lies in low..high, by `width`."""
+    first, last = (F.floor(F.col(c) / width).cast("long") for c in ("low", "high"))
+    rows = live.withColumn("c", F.explode(F.sequence(first, last)))
+    rows = rows.withColumns({"low": F.greatest("low", F.col("c") * width), "high": F.least("high", F.col("c") * width + (width - 1))})
+    core = piece(F.col("body"), F.col("lead") - F.col("c") * width, F.lit(span - width + 1).cast("long"))
+    whole = piece(F.col("body"), F.col("lead") - F.col("high"), F.col("high") - F.col("low") + span)
+    names = [F.xxhash64(F.lit(1), "c", core).alias("cx"), F.xxhash64(F.lit(2), "c", core).alias("cy"), F.xxhash64(F.lit(3), "low", "high", whole).alias("fx"), F.xxhash64(F.lit(4), "low", "high", whole).alias("fy")]
+    return rows.select("eid", "key", "doc_id", "n", (F.col("pos") + F.col("lead")).alias("at"), "low", "high", *names)
+
+
+def refined(reps, piece, span, widths, by_document):
+    """Tables of intervals (key, start, stop) that the rule removes among reps (eid, key, doc_id, pos, len, lead, n, body)."""
+    core, whole = ["cx", "cy"], ["fx", "fy"]
+    live = reps.withColumns({"low": F.col("lead") - F.col("len") + 1, "high": F.col("lead")})
+    interval = ["key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + span).alias("stop")]
+    # A core can change something if it holds what the rule may remove and something to remove it for.
+    worth = [F.sum("n").alias("x"), F.min("n").alias("y")] if not by_document else [F.min("doc_id").alias("x"), F.max("doc_id").alias("y")]
+    may = "x > 1 AND y = 1" if not by_document else "x < y"
+    out = []
+    for width in widths:
+        cells = runtime.cut(_cells(live, piece, span, width), "cells")
+        shared = runtime.cut(cells.groupBy(*core).agg(*worth).where(may).select(*core), "cores")
+        open_cells = runtime.cut(cells.join(shared, core, "left_semi"), "open")
+        if by_document:
+            known = runtime.cut(open_cells.groupBy(*whole).agg(F.min("doc_id").alias("least")), "wholes")
+            judged = open_cells.join(known, whole)
+            out.append(runtime.cut(judged.where("doc_id > least").select(*interval), "gone"))
+            left = judged.where("doc_id = least").select("eid", "n", "low", "high", *core)
+        else:
+            known = runtime.cut(open_cells.groupBy(*whole, *core, "low", "high").agg(F.sum("n").alias("n"), F.min("eid").alias("eid")), "wholes")
+            out.append(runtime.cut(open_cells.where("n = 1").join(known.where("n > 1").select(*whole), whole, "left_semi").select(*interval), "gone"))
+            left = known.select("eid", "n", "low", "high", *core)
+        if width > 1:
+            left = runtime.cut(left, "left")
+            count = [F.count(F.lit(1)).alias("k")]
+            still = runtime.cut(left.groupBy(*core).agg(*count, F.min("n").alias("y")).where("k > 1 AND y = 1").select(*core), "still") if not by_document else None
+            rest = left.join(still, core, "left_semi") if still else left
+            live = reps.drop("n").join(rest.select("eid", "n", "low", "high"), "eid")
+        runtime.free(cells, shared, open_cells)
+    return out
+
+
+def repeated(docs, find, parts, body_of, kind, piece, span, widths, by_document):
+    """Intervals (key, start, stop) of the windows that the rule removes, in units of the runs.
 
     by_document False: a window goes if it starts anywhere else; True: if it starts in a document with a
-    smaller id.  `docs` has doc_id and text.
+    smaller doc_id (rows with a null one are no documents then).  `docs` has key (of one row each), doc_id and text.
     """
-    shared = docs.mapInArrow(_buckets(find), "bucket long").groupBy("bucket")
-    shared = runtime.cut(shared.agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "buckets")
-    runs = runtime.cut(docs.mapInArrow(_runs(find), RUN).join(shared, "bucket", "left_semi"), "runs")
-    names = runs.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "pos", "len")).alias("one"))
     if by_document:
-        gone = F.col("doc_id") > F.col("least")
-        sizes = names.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("x"), F.max("least").alias("y")).where("x < y").select("bucket", "size")
-    else:
-        gone = F.col("n") > 1
-        sizes = names.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("x")).where("size > 1 AND x = 1").select("bucket", "size")
-    sizes = runtime.cut(sizes, "sizes")
-    names = runtime.cut(names, "names")
-    whole = runs.join(names.where("n > 1").select("bucket", "name", "n", "least"), ["bucket", "name"]).where(gone).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("len") - 1 + span).alias("stop"))
+        docs = docs.where("doc_id IS NOT NULL")
+    shared = docs.select("text").mapInArrow(_buckets(find, parts), "bucket long").groupBy("bucket")
+    shared = runtime.cut(shared.agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "buckets")
+    runs = runtime.cut(docs.mapInArrow(_runs(find, parts), RUN).join(shared, "bucket", "left_semi"), "runs")
+    names = runtime.cut(runs.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos")), "names")
+    gone = F.col("doc_id") > F.col("least") if by_document else F.col("n") > 1
+    whole = runs.join(names.where("n > 1").select(*NAME, "n", "least"), NAME).where(gone).select("key", F.col("pos").alias("start"), (F.col("pos") + F.col("len") - 1 + span).alias("stop"))
     if by_document:
+        mixed = names.groupBy("bucket").agg(F.min("least").alias("x"), F.max("least").alias("y")).where("x < y").select("bucket")
         # A run's first document keeps each of its copies until the windows are compared.
-        own = names.join(sizes, "bucket").select("bucket", "size", "name", "least")
-        rest = runs.join(own, ["bucket", "name"]).where("doc_id = least").select("bucket", "size", "name", "doc_id", "pos", "len", F.col("least").alias("label"))
-    else:
-        rest = names.join(sizes, "bucket").select("bucket", "size", "name", "one.doc_id", "one.pos", "one.len", F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("label"))
-    lists = rest.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "size", "name", "pos", "len", "label")).alias("runs"))
-    # Not cut: the last join of the caller then reuses this shuffle of the texts.
-    texts = docs.select("doc_id", "text").join(lists.hint("shuffle_hash"), "doc_id").mapInArrow(_cut_out(locate), TEXTS)
-    own = "doc_id long, start long, stop long"
-    small = texts.where(F.col("size") <= hot).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_small(compare), own)
-    windows = texts.where(F.col("size") > hot).mapInArrow(explode, "x long, y long, doc_id long, pos long, label long, name long")
-    if by_document:
-        known = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("x", "y", "least")
-        large = windows.join(known, ["x", "y"]).where("doc_id > least")
+        own = names.join(runtime.cut(mixed, "mixed"), "bucket", "left_semi").select(*NAME, "least")
+        rest = runs.join(own, NAME).where("doc_id = least").withColumn("n", F.lit(1).cast("long"))
     else:
-        known = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "y")
-        large = windows.where("label = 1").join(known, ["x", "y"], "left_semi")
-    large = large.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + span).alias("stop"))
-    return whole.unionByName(small).unionByName(large)
-
-
-def per_document(found):
-    """(doc_id, spans) with the intervals of each document joined where they overlap or touch within a map task's share."""
-    packed = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return packed
+        mixed = names.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("x")).where("k > 1 AND x = 1").select("bucket")
+        rest = names.join(runtime.cut(mixed, "mixed"), "bucket", "left_semi").withColumn("doc_id", F.lit(None).cast("long"))
+    lists = rest.groupBy("key").agg(F.collect_list(F.struct("doc_id", "pos", "len", "lead", "n")).alias("runs"))
+    reps = docs.select("key", "text").join(lists.hint("shuffle_hash"), "key").mapInArrow(_cut_out(body_of, kind), f"key long, doc_id long, pos long, len long, lead long, n long, body {'binary' if pa.types.is_binary(kind) else 'string'}")
+    reps = runtime.cut(reps.withColumn("eid", F.monotonically_increasing_id()), "reps")
+    for more in refined(reps, piece, span, widths, by_document):
+        whole = whole.unionByName(more)
+    return whole
 
 
 def union_of(starts, stops):
@@ -185,5 +174,5 @@ def union_of(starts, stops):
 
 def finish(docs, found, shape, schema):
     """mapInArrow of shape(batches) over (doc_id, text, spans)."""
-    spans = per_document(found)
-    return docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), "doc_id", "left").mapInArrow(shape, schema)
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return docs.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans").mapInArrow(shape, schema)

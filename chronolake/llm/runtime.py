@@ -51,12 +51,39 @@ def cut(df, name="step"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark, path):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(*tables):
+    """Delete tables that `cut` wrote, once nothing is left to be computed from them."""
+    for path in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+        for k, (spark, own) in enumerate(_WRITTEN):
+            if path.endswith(own.rpartition("/")[2]):
+                _delete(spark, own)
+                del _WRITTEN[k]
+                break
+
+
+def mark():
+    """A point in time for `free_since`."""
+    return len(_WRITTEN)
+
+
+def free_since(point, but):
+    """Delete what `cut` has written since `point`, but for the table `but`."""
+    kept = {os.path.dirname(f).rpartition("/")[2] for f in but.inputFiles()}
+    for spark, path in _WRITTEN[point:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
+    _WRITTEN[point:] = [x for x in _WRITTEN[point:] if x[1].rpartition("/")[2] in kept]
+
+
 def _clean():
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already; the folder's owner clears it
             return
 
@@ -68,16 +95,23 @@ def text_frame(df, id_col="doc_id", text_col="text"):
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def numbered(df, id_col="doc_id", key="_key"):
-    """(df with a long column `key`, condition on `key`): the id, or where that is null a number of the row's own that is
-    no row's id, and for which keys that is so.
+def numbered(df, id_col="doc_id", key="_key", repeated=False):
+    """(df with a long column `key`, condition on `key`): the id, or where that is null (repeated: or another row has it too) a
+    number of the row's own that is no row's id, and for which keys that is so.
 
-    The numbers lie beyond the largest id (below the least where there is more room); only rows with a null id are written.
+    The numbers lie beyond the largest id (below the least where there is more room); only rows that get one are written.
     """
     from pyspark.sql import functions as F
 
     own = F.col(id_col).cast("long")
     top, least, nulls = df.agg(F.max(own), F.min(own), F.count_if(own.isNull())).first()
+    named, odd = df.where(own.isNotNull()), df.where(own.isNull())
+    if repeated:
+        twice = cut(named.groupBy(own.alias("_twice")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_twice"), "repeated")
+        if not twice.isEmpty():
+            same = own == F.col("_twice")
+            named, more = named.join(twice, same, "left_anti"), named.join(twice, same, "left_semi")
+            odd, nulls = odd.unionByName(more), True
     if not nulls:
         return df.withColumn(key, own), F.lit(False)
     number = F.monotonically_increasing_id()
@@ -87,4 +121,4 @@ def numbered(df, id_col="doc_id", key="_key"):
         made, nameless = number + F.lit(top + 1).cast("long"), F.col(key) > F.lit(top)
     else:
         made, nameless = F.lit(least - 1).cast("long") - number, F.col(key) < F.lit(least)
-    return df.where(own.isNotNull()).withColumn(key, own).unionByName(cut(df.where(own.isNull()).withColumn(key, made), "nameless")), nameless
+    return named.withColumn(key, own).unionByName(cut(odd.withColumn(key, made), "nameless")), nameless

@@ -1,47 +1,43 @@
 """Substring dedup over bytes by bucket-pointer refinement of sampled suffixes.
 
 Every byte covered by a SPAN-byte string that also starts anywhere else goes, judged on the
-input.  Only suffixes that can matter are sorted.  A window of SPAN bytes is represented by the suffix
-at its anchor, the q-gram (Q bytes) of least hash in it; the q-gram is that suffix's initial
-bucket.  Buckets with one suffix end there.  The others are refined by the names of the
-content at later offsets (see repeats), and where windows must be compared one by one, all suffixes of
-the runs at hand get q-gram buckets of STEP bytes which are refined by sorting on pairs
-(own bucket, bucket of the suffix `length` bytes further on); each refinement reuses the
-buckets of the one before and doubles the length until SPAN bytes are told apart.
+input.  Only suffixes that can matter are sorted into buckets.  A window of SPAN bytes is represented by the
+suffix at its anchor, the q-gram (Q bytes) of least hash in it; the q-gram is that suffix's
+initial bucket.  Buckets with one suffix end there.  The others are refined over the cluster by the buckets of
+the content at other offsets, each round reusing the buckets of the one before, until single windows
+are told apart (see repeats; WIDTHS has the anchor places that a cell of each round holds).
 
 Null and empty texts, and texts shorter than SPAN, lose nothing.  Copies of a text of SPAN
-bytes or more lose all of it, as do repeated rows.  Rows that share a doc_id share their intervals;
-rows with a null doc_id are documents of their own.  An empty table gives no rows.
+bytes or more lose all of it, as do repeated rows.  Rows that share a doc_id, and rows with a null one,
+are documents of their own.  An empty table gives no rows.  Other columns of the input are not read.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from chronolake.llm import bytesops as B
 from chronolake.llm import repeats, runtime
 
 SPAN = 200
 Q = 40
-#: Bytes of the first buckets of a comparison; SPAN is this times a power of two.
-STEP = 25
+#: Anchor places in a cell of each round of refinement.
+WIDTHS = (32, 4, 1)
 #: Bits of a place in a chunk (texts up to 1 GB); the bits above hold the hash that picks anchors.
 PLACE = 30
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def find_runs(data, bounds, span=SPAN, q=Q):
-    """(document, first window, windows, bucket, name) of the runs of a chunk."""
+    """(document, first window, windows, place of the anchor in the first window, bucket, two names) of the runs of a chunk."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, *(none.view(np.uint64),) * 3
     roll = B.roller(1)
-    prefix = roll.prefix(data)
     at = np.arange(n - q + 1)
-    gram = roll.ranges(prefix, at, at + q)
+    gram = roll.ranges(roll.prefix(data), at, at + q)
     key = (gram >> np.uint64(PLACE) << np.uint64(PLACE)) | at.astype(np.uint64)
     anchor = (B.sliding_min(key, span - q + 1) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     at = at[: len(anchor)]
@@ -52,68 +48,31 @@ def find_runs(data, bounds, span=SPAN, q=Q):
     new = fits & (edge | ~np.append(False, fits[:-1]))
     last = fits & (np.append(edge[1:], True) | ~np.append(fits[1:], False))
     s, e = np.flatnonzero(new), np.flatnonzero(last)
-    own = B.roller(2)
-    name = own.ranges(own.prefix(data), s, e + span) + (anchor[s] - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return doc[s], s - bounds[doc[s]], e - s + 1, gram[anchor[s]], B.mix(name)
+    names = [r.ranges(r.prefix(data), s, e + span) for r in (B.roller(2), B.roller(3))]
+    return doc[s], s - bounds[doc[s]], e - s + 1, anchor[s] - s, gram[anchor[s]], *names
 
 
-def _locate(span):
-    def run(data, bounds, owner, pos, count):
-        start = bounds[owner] + pos
-        return start, start + count - 1 + span
+def _parts(span):
+    """A long document's overlapping parts: (bytes before, bytes)."""
 
-    return run
+    def cut(data):
+        for a in range(0, max(len(data) - span + 1, 1), repeats.PART):
+            yield a, data[a : a + repeats.PART + span - 1]
 
+    return cut
 
-def window_buckets(data, bounds, span=SPAN, step=STEP):
-    """(run, place in it, bucket) of all windows; runs are consecutive bodies.  Equal buckets hold for equal windows only."""
-    at = np.arange(len(data) - step + 1)
-    bucket = np.zeros(len(at), np.int64)
-    for k in range(step):  # names of step bytes, exact: digits are gathered and renamed before they overflow
-        bucket = bucket * 256 + data[at + k]
-        if k % 4 == 3 or k == step - 1:
-            bucket = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
-    length = step
-    while length < span:
-        more = min(length, span - length)
-        bucket = bucket[: len(bucket) - more] * (int(bucket.max()) + 1) + bucket[more:]
-        bucket = np.unique(bucket, return_inverse=True)[1]
-        length += more
-    run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(bucket)]
-    start = np.arange(len(bucket))
-    fits = start + span <= bounds[run + 1]
-    return run[fits], (start - bounds[run])[fits], bucket[fits]
-
-
-def _compare(span, step):
-    def run(table):
-        data, bounds = repeats.bodies(table)
-        owner, place, bucket = window_buckets(data, bounds, span, step)
-        # A run holds each window once at most, and equal windows have equal anchors, so buckets meet inside one group of runs.
-        hit = (np.bincount(bucket)[bucket] > 1) & (table.column("label").to_numpy() == 1)[owner]
-        start = table.column("pos").to_numpy()[owner] + place
-        yield repeats.spread(owner, hit, table.column("doc_id").to_numpy(), start, span)
 
-    return run
+def _bodies(span):
+    def of(data):
+        raw = data.tobytes()
+        return lambda pos, count: raw[pos : pos + count - 1 + span]
 
+    return of
 
-def _explode(span):
-    def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for i in range(0, table.num_rows, 512):
-                part = table.slice(i, 512)
-                data, bounds = repeats.bodies(part)
-                at = np.arange(max(len(data) - span + 1, 0))
-                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))[: len(at)]
-                fits = at + span <= bounds[owner + 1]
-                at, owner = at[fits], owner[fits]
-                keys = [B.roller(s).ranges(B.roller(s).prefix(data), at, at + span).view(np.int64) for s in (3, 4)]
-                get = lambda c: part.column(c).to_numpy()[owner]  # noqa: B023, E731
-                columns = [*keys, get("doc_id"), get("pos") + at - bounds[owner], get("label"), get("name")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "doc_id", "pos", "label", "name"])
 
-    return run
+def _piece(body, start, many):
+    """`many` bytes of body from place `start`."""
+    return body.substr((start + 1).cast("int"), many.cast("int"))
 
 
 def _shape(with_text):
@@ -143,12 +102,11 @@ def _shape(with_text):
     return run
 
 
-def dedup(df, id_col="doc_id", text_col="text", span=SPAN, with_text=False, hot=repeats.HOT):
+def dedup(df, id_col="doc_id", text_col="text", span=SPAN, with_text=False, widths=WIDTHS):
     """SCHEMA for every row; with_text also kept (bytes that stay) and spans (start, stop of what goes)."""
     runtime.ready(df.sparkSession)
-    docs, nameless = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "doc_id")
+    docs, _ = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "key", repeated=True)
     q = min(Q, span // 2)
     find = lambda data, bounds: find_runs(data, bounds, span, q)
-    found = repeats.repeated(docs, find, _locate(span), _compare(span, min(STEP, span)), _explode(span), span, False, hot)
-    out = repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))
-    return out.withColumn("doc_id", F.when(~nameless, F.col("doc_id")))
+    found = repeats.repeated(docs, find, _parts(span), _bodies(span), pa.binary(), _piece, span, [min(w, span) for w in widths], False)
+    return repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.llm import bytesops, decontam, exact_dedup, langid, near_dedup, packing, pretokens, quality, queries, recompression, runtime, suffix_dedup, token_counts, toxicity
+from chronolake.llm import bytesops, decontam, exact_dedup, langid, near_dedup, packing, pretokens, quality, queries, recompression, repeats, runtime, suffix_dedup, token_counts, toxicity
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -38,18 +38,66 @@ def unique(rows):
     return [r for r in rows if ids.count(r[0]) == 1]
 
 
-@pytest.mark.parametrize(("span", "hot"), [(200, 8192), (60, 2)])
-def test_suffix_dedup(spark, rows, span, hot):
-    rows = unique(rows)
-    df = spark.createDataFrame(rows, DOCS).repartition(3)
-    assert collected(suffix_dedup.dedup(df, span=span, hot=hot)) == brute.suffix(rows, span)
+def by_id(found):
+    return sorted((tuple(r) for r in found), key=lambda r: (r[0] is None, str(r)))
 
 
-@pytest.mark.parametrize(("span", "hot"), [(50, 8192), (12, 2)])
-def test_recompression(spark, rows, span, hot):
-    rows = unique(rows)
-    df = spark.createDataFrame(rows, DOCS).repartition(3)
-    assert collected(recompression.dedup(df, span=span, hot=hot)) == brute.recompression(rows, span)
+def awkward(rows):
+    """Rows with ids that stand twice, over equal and other texts, and null ids."""
+    return [*rows, (rows[3][0], rows[9][1]), (None, rows[4][1]), (None, rows[4][1]), (None, "x " + rows[9][1])]
+
+
+def brute_suffix(rows, span):
+    """brute.suffix with every row a document of its own."""
+    return [(rows[k][0], *r) for k, *r in brute.suffix([(k, t) for k, (_, t) in enumerate(rows)], span)]
+
+
+def brute_recompression(rows, span):
+    """brute.recompression, where rows with a null id keep all."""
+    alone = [brute.recompression([(0, t)], span + len(t or ""))[0] for i, t in rows if i is None]
+    return [*brute.recompression([r for r in rows if r[0] is not None], span), *((None, *x[1:]) for x in alone)]
+
+
+@pytest.mark.parametrize(("span", "widths"), [(200, (32, 4, 1)), (60, (16, 1))])
+def test_suffix_dedup(spark, rows, span, widths):
+    rows = awkward(rows)
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "doc_id AS key", "text AS bucket", "1 AS n", "'x' AS spans").repartition(3)
+    assert by_id(suffix_dedup.dedup(df, span=span, widths=widths).collect()) == by_id(brute_suffix(rows, span))
+
+
+@pytest.mark.parametrize(("span", "widths"), [(50, (8, 2, 1)), (12, (4, 1))])
+def test_recompression(spark, rows, span, widths):
+    rows = awkward(rows)
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "doc_id AS key", "text AS bucket", "1 AS n", "'x' AS spans").repartition(3)
+    assert by_id(recompression.dedup(df, span=span, widths=widths).collect()) == by_id(brute_recompression(rows, span))
+
+
+def test_rows_that_share_an_id_lose_nothing_of_each_other(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b = text(100), text(100)
+    rows = [(1, a), (1, b), (2, a)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(1, len(a), len(a)), (1, len(b), 0), (2, len(a), len(a))])
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in recompression.dedup(spark.createDataFrame([(1, a), (2, b), (2, a)], DOCS)).collect())
+    assert got == [(1, 100, 0), (2, 100, 0), (2, 100, 100)]
+
+
+def test_parts_of_long_documents_give_the_same_windows():
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(30)}" for _ in range(3000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    whole = np.array([0, len(data)])
+    for module, span, parts in ((suffix_dedup, 40, suffix_dedup._parts(40)), (recompression, 20, recompression._parts(20, 400))):
+        size = repeats.PART
+        repeats.PART = 1000
+        try:
+            cut = [(before, part) for before, part in parts(data)]
+        finally:
+            repeats.PART = size
+        find = (lambda d, b: suffix_dedup.find_runs(d, b, 40, 12)) if module is suffix_dedup else (lambda d, b: recompression.find_runs(d, b, 20))
+        windows = lambda found, before: {(p + before, lead - (p - pos), bucket) for _, pos, count, lead, bucket, *_ in zip(*found, strict=True) for p in range(pos, pos + count)}
+        assert len(cut) > 3 and set().union(*(windows(find(part, np.array([0, len(part)])), before) for before, part in cut)) == windows(find(data, whole), 0)
 
 
 def test_recompression_names_are_the_same_in_all_copies():
@@ -73,7 +121,7 @@ def test_equal_windows_have_equal_buckets_wherever_a_chunk_ends():
         seen = {}
         for size in (1, 10_000):  # each text alone, and all in one chunk
             for i, j, data, bounds in bytesops.chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts)}), max_bytes=size):
-                for doc, pos, count, bucket, _ in zip(*find(data, bounds), strict=True):
+                for doc, pos, count, _, bucket, *_ in zip(*find(data, bounds), strict=True):
                     units = cut(texts[i + doc])
                     for p in range(pos, pos + count):
                         assert seen.setdefault(tuple(units[p : p + span]), bucket) == bucket
@@ -265,6 +313,58 @@ def test_token_counts_after_edits(spark, rows):
     assert long.n_reencoded < 60 * max(long.n_edits, 1)
 
 
+def test_kept_trees_take_later_edits(spark):
+    texts = ["it's a day " * 300, "", None, "one two"]
+    kinds = "doc_id long, seq long, start long, stop long, text string"
+    kept = token_counts.count_with_edits(spark.createDataFrame(list(enumerate(texts)), DOCS), path(), spark.createDataFrame([(0, 0, 5, 9, "xyz")], kinds), with_trees=True)
+    later = token_counts.edit(kept, path(), spark.createDataFrame([(0, 0, 1000, 1010, "'s  not"), (1, 0, 0, 0, "new text"), (3, 0, None, None, None), (3, None, 0, 3, "'ll")], kinds)).collect()
+    first = apply(texts[0], [(5, 9, "xyz")])
+    want = {0: apply(first, [(1000, 1010, "'s  not")]), 1: "new text", 2: "", 3: "'ll two"}
+    assert {r.doc_id: (r.text, r.n_tokens_after) for r in later} == {i: (t, len(x)) for (i, t), x in zip(want.items(), reference_ids(want.values()), strict=True)}
+    row = next(r for r in later if r.doc_id == 0)
+    assert 0 < row.n_bytes_reencoded < 200 < row.n_bytes and sum(row.counts) == row.n_tokens_after and sum(row.lengths) == row.n_bytes_after
+
+
+def test_token_counts_query_takes_null_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None), (None, "a\nb"), (2, ""), (2, "c")], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r.n_bytes, r.n_bytes_after) for r in got) == [(0, 0), (0, 0), (1, 0), (3, 0)]
+
+
+def thue_morse(n):
+    """Two texts of n bytes that collide under a polynomial hash modulo a power of two, in every odd base."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 2048])
+def test_texts_built_to_collide(spark, n):
+    one, other = thue_morse(n)
+    words = lambda t: " ".join(t)
+    rows = [(1, one), (2, other), (3, one + "cd"), (4, words(one[:300])), (5, words(other[:300]))]
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    assert collected(suffix_dedup.dedup(df)) == brute.suffix(rows, 200)
+    assert collected(recompression.dedup(df)) == brute.recompression(rows, 50)
+    assert collected(near_dedup.near_groups(df)) == brute.near(rows)
+    want = [len(x) for x in reference_ids([t for _, t in rows])]
+    assert [r.n_tokens for r in sorted(token_counts.count_with_edits(df, path()).collect())] == want
+    packed = packing.pack(df, path(), capacity=4096, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in packed} == {i: [*x, 0] for (i, _), x in zip(rows, reference_ids([t for _, t in rows]), strict=True)}
+
+
+def test_keys_that_stand_for_two_pretokens(monkeypatch):
+    texts = odd_texts()[:200]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(pretokens, "keys_of", lambda data, begin, end: (end - begin).astype(np.uint64))
+    monkeypatch.setattr(pretokens, "_STATE", {k: v for k, v in pretokens._STATE.items() if k[0] != "cache"})
+    for size in (3, 999):
+        for i, j, data, bounds in bytesops.chunks(batch, max_bytes=size):
+            _, doc, at, many, ids = pretokens.encode(data, bounds, path())
+            assert pretokens.flat_ids(at, many, ids).tolist() == [x for own in reference_ids(texts[i:j]) for x in own]
+
+
 def noisy(rng, good):
     words = [rng.choice(["alpha", "beta", "gamma", "delta", "stone", "river", "cloud"]) for _ in range(60)]
     return " ".join(words) + "." if good else " ".join(w.upper() + rng.choice(["!!", "***", "$$$"]) for w in words)
