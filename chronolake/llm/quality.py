@@ -2,16 +2,20 @@
 
 A text's terms are hashed words, bytes, pairs of byte classes, word and line lengths and
 repetition, each group as square roots of shares.  A singular value decomposition of a
-bounded sample of labelled documents gives DIMENSIONS latent directions.  The sample's
+bounded sample of labelled documents gives DIMENSIONS latent directions.  The decomposition is made in a worker, and the sample's
 unit vectors and labels are broadcast (SAMPLE * DIMENSIONS floats, whatever the corpus),
 every document's exact cosine with all of them is a blocked product, and the NEIGHBOURS
 nearest vote with their label, weighted by similarity.
 
 Empty and null texts have the zero vector: the score is then the share of label 1 in
 the sample.  Without labelled rows every score is 0.5.  Repeated label rows of a
-document count with their mean.  Each row is scored on its own.
+document count with their mean.  Each row is scored on its own, so repeated rows and rows with a
+null doc_id get a score too; of equal cosines at the last neighbour any may vote.  An empty table gives no rows.
+Other columns are not read, and `keep_good` passes them through.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -86,24 +90,32 @@ def _unit(x):
 
 
 class Model:
+    """Latent axes, the labelled documents' unit vectors on them and their labels: at most SAMPLE * DIMENSIONS + TERMS * DIMENSIONS floats."""
+
     def __init__(self, vectors, labels):
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.mean = vectors.mean(0) if len(vectors) else np.zeros(TERMS, np.float32)
-        centred = vectors - self.mean
-        spread = np.maximum(centred.std(0), 0.02) if len(vectors) else np.ones(TERMS, np.float32)
+        self.mean = vectors.mean(0, dtype=np.float64).astype(np.float32) if len(vectors) else np.zeros(TERMS, np.float32)
+        spread = np.maximum(vectors.std(0), 0.02) if len(vectors) else np.ones(TERMS, np.float32)
         self.scale = (1 / np.sqrt(spread)).astype(np.float32)
-        centred = centred * self.scale
-        _, axes = np.linalg.eigh(centred.T.astype(np.float64) @ centred)
+        gram = np.zeros((TERMS, TERMS))
+        for i in range(0, len(vectors), 512):  # blocks, so that no copy of the sample is made
+            part = ((vectors[i : i + 512] - self.mean) * self.scale).astype(np.float64)
+            gram += part.T @ part
+        _, axes = np.linalg.eigh(gram)
         self.axes = axes[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-        self.vectors = _unit(centred @ self.axes).astype(np.float32)
+        self.vectors = self.latent(vectors)
         self.labels = labels.astype(np.float32)
 
+    def latent(self, made):
+        """Unit vectors on the latent axes."""
+        return _unit((made - self.mean) * self.scale @ self.axes).astype(np.float32)
+
     def score(self, made):
         empty = ~made.any(1)
         out = np.full(len(made), self.prior)
         if not len(self.labels):
             return out
-        x = _unit((made - self.mean) * self.scale @ self.axes)
+        x = self.latent(made)
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(x), 256):  # a block of products is 256 * SAMPLE floats
             near = x[i : i + 256] @ self.vectors.T
@@ -129,13 +141,25 @@ def sample_of(labels, label_col, id_col, most):
     return rows.groupBy("_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
+def _fit(batches):
+    """One worker's task: the sample is bounded, and only the model goes to the driver."""
+    labels, vectors = [], []
+    for batch in batches:
+        labels.append(batch.column(0).to_numpy(zero_copy_only=False))
+        vectors += [np.frombuffer(x.as_py(), np.float32) for x in batch.column(1)]
+    # In an order of their own, so that the model does not hang on the order of arrival.
+    made, label = np.array(vectors, np.float32).reshape(-1, TERMS), np.concatenate([np.zeros(0), *labels])
+    order = np.lexsort((label, *made[:, :: max(TERMS // 16, 1)].T)) if len(made) else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(made[order], label[order]))], pa.binary())], ["model"])
+
+
 def fit(df, labels, label_col="quality", id_col="doc_id", text_col="text", sample=SAMPLE):
     """Model from the labelled rows of df, a bounded sample of them."""
     runtime.ready(df.sparkSession)
     chosen = F.broadcast(sample_of(labels, label_col, id_col, sample))  # at most `sample` rows
-    rows = runtime.text_frame(df, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id")).select("label", "text").mapInArrow(_vectors, "label double, vector binary").toPandas()
-    vectors = np.frombuffer(b"".join(rows["vector"]), np.float32).reshape(-1, TERMS)
-    return Model(vectors, rows["label"].to_numpy(np.float64))
+    rows = runtime.text_frame(df, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id")).select("label", "text").mapInArrow(_vectors, "label double, vector binary")
+    made = rows.repartition(1).mapInArrow(_fit, "model binary").first()
+    return pickle.loads(bytes(made.model)) if made else Model(np.zeros((0, TERMS), np.float32), np.zeros(0))
 
 
 def _score(held):

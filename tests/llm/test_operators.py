@@ -384,6 +384,26 @@ def test_quality(spark):
     assert {r.score for r in quality.score(df, blank).collect()} == {0.5}
 
 
+def test_quality_against_a_plain_vote(spark):
+    rng = random.Random(21)
+    texts = [noisy(rng, k % 3 > 0) + noisy(rng, k % 2 > 0) for k in range(90)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    made = np.concatenate([quality.terms(data, bounds) for _, _, data, bounds in bytesops.chunks(batch)])
+    labels = np.array([k % 3 > 0 for k in range(60)], float)
+    model = quality.Model(made[:60], labels)
+    # The same by other means: singular vectors of the scaled sample, then each cosine on its own.
+    scaled = (made - made[:60].mean(0)) / np.sqrt(np.maximum(made[:60].std(0), 0.02))
+    _, _, axes = np.linalg.svd(scaled[:60].astype(float), full_matrices=False)
+    latent = scaled @ axes[: quality.DIMENSIONS].T
+    want = []
+    for x in latent[60:]:
+        cosine = [float(x @ y) / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-9) for y in latent[:60]]
+        near = sorted(range(60), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+        weight = [max(cosine[k], 0) * np.exp(quality.SHARPNESS * (cosine[k] - 1)) for k in near]
+        want.append(sum(w * labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight))
+    assert np.abs(model.score(made[60:]) - want).max() < 0.02
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     calm = lambda: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(40)}" for _ in range(50)]

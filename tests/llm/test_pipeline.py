@@ -40,3 +40,13 @@ def test_null_ids_go_through_the_stages_after_the_classifier(spark):
         docs = stage(spark, docs, SF).cache()
         assert {tuple(r) for r in docs.collect()} == set(rows if name != "decontamination" else rows[:2])
     assert sorted(str(r.doc_id) for r in corpus_pipeline.pack(spark, docs, SF).collect()) == ["1", "None"]
+
+
+def test_run_over_nulls_and_over_an_empty_table(spark, tmp_path):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, docs in (("odd", source.limit(60).unionByName(source.limit(3).selectExpr(*[f"CAST(NULL AS {t}) AS {c}" for c, t in source.dtypes]))), ("empty", source.limit(0))):
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len({r.doc_id for r in pieces}) > 20 if name == "odd" else not pieces
