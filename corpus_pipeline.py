@@ -58,5 +58,7 @@ def run(spark, sf_dir):
     """The last stage's rows over the whole of `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        point = runtime.mark()
         docs = runtime.cut(stage(spark, docs, sf_dir), name)
+        runtime.free_since(point, docs)  # what the stage wrote on its way is no longer read
     return docs
