@@ -3,16 +3,21 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A benchmark
 window is WINDOW consecutive words of an item, or all words of a shorter one.  Texts
 are taken as sets of positioned shingles of two words (one word for an item of one
-word).  Shingles of the benchmark are counted over all documents; a window's prefix is
-its rarest shingle (a containment of all shingles needs a prefix of one), documents
-are joined on prefixes, the place of the shingle gives the only place where the window can
-start (positional bound), the document's length bounds it, and the remaining shingles
-are then joined at their exact places: all present means the words are equal.
+word), by a 64-bit hash.
 
-The benchmark is broadcast only while it has at most BROADCAST_SHINGLES shingles;
-a larger one is joined by shuffle.  Null texts and texts without words give no
-words, no hits and no items; repeated items count once for each distinct item_id;
-a null item_id still marks words but is not listed.
+1. Order: the benchmark's shingles are counted over all documents, which gives nothing but one count for each.
+2. Prefix: a containment of all shingles needs a prefix of one, so a window is looked for by its rarest
+   shingle alone; a window with a shingle that no document has occurs nowhere.
+3. Bounds: the shingle's place gives the only place where the window can start (positional bound), and
+   the document must have as many words from there (length bound).
+4. Verification: the words from that place are held against the window's, word by word.
+
+The benchmark is broadcast only while it has at most BROADCAST_SHINGLES shingles, and candidates while they are as
+few; more are joined by shuffle.  Documents are split into words once; the table of words goes to the shared folder.
+
+Null texts and texts without words give no words, no hits and no items; repeated items count once for each
+distinct item_id; a null item_id still marks words but is not listed; an empty benchmark hits nothing and
+an empty table gives no rows.  Other columns are not read.
 
 A window must stand in one text: rows are told apart by doc_id and a hash of the text, so
 repeated rows count once and no window runs over two texts of one doc_id.  Rows of one
@@ -37,11 +42,11 @@ def words(text):
 
 
 def shingles(column, size):
-    """Array of all runs of `size` words, joined by one space."""
+    """Array of the hashes of all runs of `size` words (one or two)."""
     if size == 1:
-        return column
-    starts = F.when(F.size(column) >= size, F.sequence(F.lit(1), F.size(column) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(column, i - 1 + k) for k in range(size)]))
+        return F.transform(column, lambda w: F.xxhash64(w))
+    many = F.greatest(F.size(column) - 1, F.lit(0))
+    return F.zip_with(F.slice(column, F.lit(1), many), F.slice(column, F.lit(2), many), lambda a, b: F.xxhash64(a, b))
 
 
 def own(id_col="doc_id", text_col="text"):
@@ -61,38 +66,50 @@ def _windows(bench, item_col, text_col, window):
     return cut.select("item_id", "words", F.concat_ws(" ", "words").alias("window"))
 
 
+#: What tells a text apart, as plain columns without nulls.
+KEY = ["id", "nameless", "body"]
+
+
+def _key():
+    return [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "body"]
+
+
 def occurrences(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", broadcast_shingles=BROADCAST_SHINGLES):
     """(occurrences (doc_id, own, start, length, window), items (window, item_id), documents (doc_id, own, n_words)); own: see `own`."""
-    spark = docs.sparkSession
     made = runtime.cut(_windows(bench, item_col, item_text_col, window), "windows")
     windows = made.select("window", "words").distinct().withColumn("size", F.when(F.size("words") > 1, 2).otherwise(1))
-    parts = windows.select("window", "size", F.size("words").alias("length"), F.posexplode(F.when(F.col("size") == 2, shingles(F.col("words"), 2)).otherwise(F.col("words"))).alias("place", "shingle"))
+    parts = windows.select("window", "size", F.size("words").alias("length"), F.posexplode(F.when(F.col("size") == 2, shingles(F.col("words"), 2)).otherwise(shingles(F.col("words"), 1))).alias("place", "shingle"))
     parts = runtime.cut(parts, "parts")
     distinct = parts.select("shingle", "size").distinct()
     sizes = {r["size"]: r["n"] for r in distinct.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = sum(sizes.values()) <= broadcast_shingles
     texts = runtime.text_frame(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"), own().alias("own"))
-    counts = texts.select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
-    hits = spark.createDataFrame([], "doc_id long, body long, shingle string, pos int")
-    for size in sorted(sizes):
-        tokens = texts.select("doc_id", "body", F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
-        hits = hits.unionByName(tokens.join(_small(distinct.where(F.col("size") == size).select("shingle"), small), "shingle", "left_semi"))
-    hits = runtime.cut(hits, "hits")
-    rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    # A window with a shingle that no document has occurs nowhere.
-    ranked = parts.join(rarity, "shingle", "left").groupBy("window", "length", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"), F.count(F.lit(1)).alias("n"))
-    prefix = runtime.cut(ranked.where("rarest.df > 0").select("window", "length", "n", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place")), "prefix")
+    texts = runtime.cut(texts.select("doc_id", "body", "own", F.size("w").alias("n"), "w"), "words")
+    rarity = None
+    for size in sorted(sizes) or [2]:
+        tokens = texts.select(F.explode(shingles(F.col("w"), size)).alias("shingle"))
+        wanted = _small(distinct.where(F.col("size") == size).select("shingle"), small)
+        # A broadcast side sieves the shingles before they are counted; a large one meets their counts.
+        counted = tokens.join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")) if small else tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).join(wanted, "shingle", "left_semi")
+        counted = counted.withColumn("size", F.lit(size))
+        rarity = counted if rarity is None else rarity.unionByName(counted)
+    rarity = runtime.cut(rarity, "rarity")
+    ranked = parts.join(rarity, ["shingle", "size"], "left").groupBy("window", "length", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"))
+    prefix = runtime.cut(ranked.where("rarest.df > 0").select("window", "length", "size", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place")), "prefix")
+    found = None
+    for size in sorted(sizes) or [2]:
+        tokens = texts.select("doc_id", "body", "n", F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
+        met = tokens.join(_small(prefix.where(F.col("size") == size).drop("size"), small), "shingle").withColumn("start", F.col("pos") - F.col("place"))
+        met = met.where("start >= 0 AND start + length <= n").select("doc_id", "body", "start", "length", "window")
+        found = met if found is None else found.unionByName(met)
     # Distinct, since a repeated row gives each of its places twice.
-    likely = hits.join(_small(prefix, small), "shingle").select("doc_id", "body", (F.col("pos") - F.col("place")).alias("start"), "window", "length", "n").where("start >= 0").distinct()
-    place = ["doc_id", "body", "start", "length", "window"]
-    whole = likely.where("n = 1").select(place)
-    wanted = likely.where("n > 1").join(_small(parts.select("window", "place", "shingle"), small), "window").select(*place, "n", (F.col("start") + F.col("place")).alias("pos"), "shingle")
-    there = hits.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("pos").alias("_pos"), F.col("shingle").alias("_shingle")).distinct()
-    at = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")) & (F.col("pos") == F.col("_pos")) & (F.col("shingle") == F.col("_shingle"))
-    found = wanted.join(there, at, "left_semi")
-    proved = found.groupBy(*place, "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select(place)
-    marked = whole.unionByName(proved).select("doc_id", F.when(F.col("doc_id").isNull(), F.col("body")).alias("own"), "start", "length", "window").distinct()
-    return runtime.cut(marked, "occurrences"), made.select("window", "item_id"), counts
+    likely = runtime.cut(found.distinct(), "candidates")
+    lists = likely.groupBy(*_key()).agg(F.collect_list(F.struct("start", "length", "window")).alias("likely"))
+    if likely.count() <= broadcast_shingles:
+        lists = F.broadcast(lists)
+    same = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"]
+    proved = texts.select("*", *_key()[:2]).join(lists, KEY).select("doc_id", "own", F.explode(F.filter("likely", same)).alias("c")).select("doc_id", "own", "c.*").distinct()
+    return runtime.cut(proved, "occurrences"), made.select("window", "item_id"), texts.select("doc_id", "own", F.col("n").cast("long").alias("n_words"))
 
 
 def decontaminate(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", broadcast_shingles=BROADCAST_SHINGLES):
