@@ -1,8 +1,10 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set is its distinct
-shingles of SHINGLE words (a shorter document's only shingle is all of it), held
-as 64-bit hashes.  Equal sets share one representative, so copies never meet in pairs.
+shingles of SHINGLE words (a shorter document's only shingle is all of it).  Two families of
+hashes name shingles, each modulo a prime in a random base of its own: signatures come from one, links are
+confirmed on sets named by the other, and sets count as equal only where both agree.  Equal sets share
+one representative, so copies never meet in pairs.
 
 A SuperMinHash signature gives every element a random permutation of the slots; at level j an
 element offers j + a random share to the j-th slot of its permutation, and a level is
@@ -10,16 +12,16 @@ only gone to while some slot of the document is still empty (the early stop).  B
 of ROWS slots make buckets: at the threshold 0.75 a pair shares none with probability
 (1 - 0.75**6)**60 < 1e-5, and far less above it.
 
-A bucket of k documents is not expanded into pairs.  It is taken as a star about one member, the
+A bucket of k documents is not expanded into pairs.  It is first taken as a star about its least member; the
 pairs are confirmed on full sets, and confirmed links are merged (union-find by alternating
-large and small stars, in DataFrames).  After STARS rounds with different centres, pairs
-of one bucket that are still in different components are all confirmed: as pairs in buckets of
-at most PAIRED members, else in blocks, where the members outside a bucket's largest component
-are held against all its members inside a task and only links come out.  So no link that
+large and small stars, in DataFrames).  Then, in every bucket that still holds several components, the members
+outside its largest component are held against all members of the other components, in blocks of at most BLOCK
+members a side, each inside a task, and only links come out.  So no link that
 changes a component is lost, and pairs inside a component are not listed.
 
 Null or wordless texts have an empty set and are linked with nothing.  Rows that share a
-doc_id count as linked.  An empty table gives no rows.
+doc_id count as linked; rows with a null one are in no group (`drop_near` gives them numbers).  An empty table
+gives no rows.  Other columns are not read, and `drop_near` passes them through.
 """
 
 import numpy as np
@@ -33,19 +35,20 @@ SHINGLE = 5
 #: Per cent of the union that the intersection must reach.
 THRESHOLD = 75
 ROWS, BANDS = 6, 60
-STARS = 2
-#: Members of a bucket up to which its remaining pairs are listed, and members of a block in larger ones.
-PAIRED, BLOCK = 24, 256
+#: Members of a block, the unit of comparison.
+BLOCK = 256
+#: The families of shingle names: for signatures, and for what is confirmed.
+SKETCHED, CONFIRMED = 51, 52
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(data, bounds, size=SHINGLE):
+def shingle_sets(data, bounds, size=SHINGLE, family=SKETCHED):
     """(document, hash) of the distinct shingles of a chunk, sorted by both."""
     start, end, doc = B.word_spans(data, bounds, B.BLANKS)
     n_docs = len(bounds) - 1
     if not len(start):
         return doc, np.zeros(0, np.uint64)
-    roll = B.roller(51, fold_case=True)
+    roll = B.roller(family, fold_case=True)
     word = roll.ranges(roll.prefix(data), start, end)
     words = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(words) - words
@@ -112,9 +115,9 @@ def _signatures(rows, bands, size):
                 doc, element = shingle_sets(data, bounds, size)
                 sizes = np.bincount(doc, minlength=n)
                 sums = []
-                for salt in (1, 2):
+                for owner, name in ((doc, element), shingle_sets(data, bounds, size, CONFIRMED)):
                     total = np.zeros(n, np.uint64)
-                    np.add.at(total, doc, B.mix(element ^ np.uint64(salt * _GOLD & 0xFFFFFFFFFFFFFFFF)))
+                    np.add.at(total, owner, B.mix(name ^ np.uint64(_GOLD)))
                     sums.append(pa.array(total.view(np.int64)))
                 keys = band_keys(superminhash(doc, element, n, rows * bands), rows)
                 keys = _lists(keys.ravel().view(np.int64), np.full(n, bands), pa.int64())
@@ -128,7 +131,7 @@ def _sets(size):
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, bounds in B.chunks(batch):
-                doc, element = shingle_sets(data, bounds, size)
+                doc, element = shingle_sets(data, bounds, size, CONFIRMED)
                 counts = np.bincount(doc, minlength=j - i)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), _lists(element.view(np.int64), counts, pa.int64())], ["doc_id", "shingles"])
 
@@ -165,17 +168,13 @@ def components(links):
 
 
 def _compare_blocks(threshold):
-    """Links between the minor members of a unit and all members of its block in other components."""
+    """Links between the minor members of a unit and the others of its block in other components; units arrive sorted."""
 
-    def compare(table):
-        ids, parts = table.column("doc").to_numpy(), table.column("component").to_numpy()
-        minor = np.flatnonzero(table.column("minor").to_numpy(zero_copy_only=False))
-        other = np.flatnonzero(~table.column("minor").to_numpy(zero_copy_only=False))
-        lists = table.column("shingles").combine_chunks()
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    def compare(ids, parts, is_minor, offsets, values):
         sizes = np.diff(offsets)
+        minor, other = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
         if not len(minor) or not len(other):
-            return LINK.empty_table()
+            return []
         all_values = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in other])
         starts = np.concatenate([[0], np.cumsum(sizes[other])])[:-1]
         words, at = np.unique(all_values, return_inverse=True)
@@ -189,52 +188,67 @@ def _compare_blocks(threshold):
             common = np.add.reduceat(mark[at], starts)
             hit = (common * 100 >= (sizes[k] + sizes[other] - common) * threshold) & (parts[other] != parts[k])
             found += [(min(a, b), max(a, b)) for a, b in zip(ids[other[hit]].tolist(), [int(ids[k])] * int(hit.sum()), strict=True)]
-        return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINK)
+        return found
+
+    def units(table):
+        """Unit by unit; a unit has at most 2 * BLOCK rows but for the chance of hashing."""
+        columns = [table.column(c).to_numpy() for c in ("key", "x", "y")]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return np.flatnonzero(new)
+
+    def some(table, first, stop):
+        ids, parts = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        is_minor = table.column("minor").to_numpy(zero_copy_only=False)
+        lists = table.column("shingles").combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        found = []
+        for a, b in zip(first, [*first[1:], stop], strict=True):
+            found += compare(ids[a:b], parts[a:b], is_minor[a:b], offsets[a : b + 1], values)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINK)
 
-    return compare
+    def run(batches):
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more]).combine_chunks()
+            first = units(held).tolist()
+            if len(first) > 1:  # the last unit may go on
+                yield some(held, first[:-1], first[-1])
+                held = held.slice(first[-1]).combine_chunks()
+        if held is not None and held.num_rows:
+            yield some(held, units(held).tolist(), held.num_rows)
+
+    return run
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _in_blocks(rows, sets, threshold):
-    """Links across components inside large buckets; rows: (key, doc, component)."""
+    """Links across components inside buckets; rows: (key, doc, component)."""
     counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    about = counts.groupBy("key").agg(F.sum("n").alias("k"), F.max(F.struct("n", "component")).alias("top")).where(F.col("k") > PAIRED)
-    about = about.select("key", "top.component", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.ceil((F.col("k") - F.col("top.n")) / BLOCK).alias("minor_blocks")).withColumnRenamed("component", "most")
-    placed = rows.join(about, "key").withColumn("at", F.xxhash64("doc"))
+    about = counts.groupBy("key").agg(F.sum("n").alias("k"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("most"))
+    about = about.select("key", "most", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.ceil((F.col("k") - F.col("top")) / BLOCK).alias("minor_blocks"))
+    placed = rows.join(runtime.cut(about, "about"), "key").withColumn("at", F.xxhash64("doc"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = placed.select("key", "doc", "component", F.lit(False).alias("minor"), F.pmod("at", "blocks").alias("x"), every("minor_blocks").alias("y"))
     minor = placed.where("component <> most").select("key", "doc", "component", F.lit(True).alias("minor"), every("blocks").alias("x"), F.pmod("at", "minor_blocks").alias("y"))
     units = whole.unionByName(minor).join(sets, F.col("doc") == F.col("doc_id")).select("key", "x", "y", "doc", "component", "minor", "shingles")
-    return units.groupBy("key", "x", "y").applyInArrow(_compare_blocks(threshold), "a long, b long").distinct()
+    return units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compare_blocks(threshold), "a long, b long").distinct()
 
 
 def _linked(multi, sets, threshold):
     """Links between representatives that hold all components; multi: (key, doc) of buckets with two members or more."""
-    links, group = None, None
-    for turn in range(STARS + 1):
-        rows = multi.withColumn("component", F.col("doc"))
-        if group is not None:
-            rows = multi.join(group, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-            apart = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            rows = runtime.cut(rows.join(apart, "key", "left_semi"), "apart")
-        if turn < STARS:
-            order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-            centre = rows.groupBy("key").agg(F.min_by(F.struct("doc", "component"), order).alias("c"))
-            pairs = rows.join(centre, "key").where("component <> c.component")
-            pairs = pairs.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-        else:
-            few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= PAIRED).select("key")
-            low = rows.join(few, "key", "left_semi")
-            other = low.select("key", F.col("doc").alias("d"), F.col("component").alias("c"))
-            pairs = low.join(other, "key").where("doc < d AND component <> c").select(F.col("doc").alias("a"), F.col("d").alias("b"))
-        found = confirm(pairs.distinct(), sets, threshold)
-        if turn == STARS:
-            found = found.unionByName(_in_blocks(rows, sets, threshold))
-        links = runtime.cut(found if links is None else links.unionByName(found), "links")
-        group = components(links)
-    return links, group
+    centre = multi.groupBy("key").agg(F.min("doc").alias("c"))
+    pairs = multi.join(centre, "key").where("doc > c").select(F.col("c").alias("a"), F.col("doc").alias("b")).distinct()
+    links = runtime.cut(confirm(pairs, sets, threshold), "links")
+    group = components(links)
+    rows = multi.join(group, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    apart = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = runtime.cut(rows.join(apart, "key", "left_semi"), "apart")
+    links = runtime.cut(links.unionByName(_in_blocks(rows, sets, threshold)), "links")
+    return links, components(links)
 
 
 def near_groups(df, id_col="doc_id", text_col="text", size=SHINGLE, threshold=THRESHOLD, rows=ROWS, bands=BANDS):

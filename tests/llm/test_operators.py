@@ -148,10 +148,14 @@ def test_near_groups(docs, rows):
 
 
 def test_near_groups_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRED", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "STARS", 0)
-    rows = unique(rows)
+    assert collected(near_dedup.near_groups(spark.createDataFrame(rows, DOCS))) == brute.near(rows)
+
+
+def test_blocks_alone_find_all_links(spark, rows, monkeypatch):
+    """Without the stars' links, every bucket is left to the blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, sets, threshold: pairs.where("false"))
     assert collected(near_dedup.near_groups(spark.createDataFrame(rows, DOCS))) == brute.near(rows)
 
 
