@@ -37,7 +37,8 @@ def _number(place):
 
 def _named(rows, keys):
     """rows with `name`: the least `number` among rows with equal keys."""
-    least = rows.groupBy(*keys).agg(F.min("number").alias("name"))
+    # Written, so that a join with a key of very many rows has two shuffled sides and can be split by key.
+    least = runtime.cut(rows.groupBy(*keys).agg(F.min("number").alias("name")), "least")
     right = least.select(*[F.col(k).alias(f"_{k}") for k in keys], "name")
     on = None
     for k in keys:

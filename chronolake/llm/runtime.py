@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,12 @@ def ready(spark):
 
 
 def shared_dir(spark):
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run
+    in one process (tests); on a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
         named = _fallback()
     return f"{named.rstrip('/')}/chronolake"
 

@@ -1,18 +1,24 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 Learning takes a bounded sample of labelled documents and finds hostile terms: words and
-word beginnings (stems) that toxic documents hold far more often than others, each with
-its log odds.  A text is cut into clauses; a word becomes a symbol of one of the classes
-hostile, threat, target, negation, report or other.  Four small transducers are composed
-into one machine: the insult transducer weighs hostile terms, the threat transducer weighs threats
-that hit a target, the negation transducer lowers what a negation governs and the report
-transducer lowers what reported speech holds.  A clause scores its best path, a document
-the sum of its best clause and a small share of the others; the score is the logistic
-of that sum and the prior log odds.
+word beginnings (stems) that toxic documents hold far more often than others, by more than chance gives
+among all terms that were tried, each with its log odds.  A text is cut into clauses; a word becomes a
+symbol of one of the classes hostile, threat, target, negation, report or other.  Five small transducers are
+tables of (state, symbol) -> (state, symbol, weight); a weight is a factor and a term to add, so that their
+composition is a table of the same kind, made once.  In the order of composition:
+
+* target: a hostile term after a word for a person is aimed;
+* insult: hostile terms keep their weight, aimed ones gain;
+* threat: a threat weighs once a target follows;
+* negation: what a negation governs (REACH words) keeps NEGATED of its weight;
+* report: what follows a verb of speech in its clause keeps REPORTED of its weight.
+
+A clause scores its best path, a document the sum of its best clause and a small share of the others; the score
+is the logistic of that sum and the prior log odds.  A closed-class word is never a hostile term, but for threats.
 
 Null and empty texts have the prior alone.  Without labelled rows every score is the
 prior of no evidence.  Repeated label rows count with their mean, rounded up.  Each row is
-scored on its own.
+scored on its own, repeated rows and rows with a null doc_id too.  Other columns are not read.
 """
 
 import numpy as np
@@ -25,17 +31,15 @@ from chronolake.llm.quality import sample_of
 
 #: Labelled rows that the lexicon is learnt from at most, those with the least hash of their id.
 SAMPLE = 20_000
-#: Contexts (the words on both sides) of toxic documents that a term must be met in: this many, and this share of
-#: the toxic documents.  Of each document a term's first context counts, and equal contexts count once, so that
-#: copies of one document say a thing once.
+#: Contexts (the words on both sides) of toxic documents that a term must be met in.  Of each document a term's first
+#: context counts, and equal contexts count once, so that copies of one document say a thing once.
 LEAST_CONTEXTS = 5
-LEAST_SHARE = 0.015
+#: The chance, over all terms tried, that one of them is learnt although toxic documents hold it no more often.
+CHANCE = 0.01
 LEAST_ODDS = 4.0
 #: Bytes of stems that are considered.
 STEMS = (4, 5, 6, 7, 8)
-#: Terms that a model holds at most: those with the highest odds times documents.
-LEXICON = 20_000
-TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS, THREAT_WEIGHT, OTHERS_SHARE = 0.5, 1.0, 0.7, 1.5, 0.25
+TARGET_GAIN, NEGATED, REPORTED, THREAT_WEIGHT, OTHERS_SHARE = 0.5, 0.0, 0.05, 3.0, 0.25
 #: Words that a negation governs.
 REACH = 3
 
@@ -45,84 +49,108 @@ NEGATIONS = "not no never nor isn't aren't don't nicht kein keine nie ne pas jam
 REPORTS = "said says say quoted wrote claimed according called sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 THREATS = "kill hurt destroy punch burn shoot stab beat töten schlagen tuer frapper matar golpear".split()
 
-HOSTILE, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+HOSTILE, THREAT, TARGET, NEGATION, REPORT, OTHER, AIMED = SYMBOLS = range(7)
 
 
 class Transducer:
-    """Weighted deterministic transducer: step[state, symbol] -> (state, symbol out, weight)."""
+    """Tables over (state, symbol): the next state, the symbol that comes out, and its weight as factor * weight + more.  State 0 is the start."""
 
-    def __init__(self, start, step):
-        self.start, self.step = start, step
-
-    def compose(self, other):
-        """This one's output read by `other`; weights add."""
+    def __init__(self, states):
+        shape = (states, len(SYMBOLS))
+        self.next = np.broadcast_to(np.arange(states)[:, None], shape).copy()
+        self.out = np.broadcast_to(np.arange(len(SYMBOLS)), shape).copy()
+        self.factor, self.more = np.ones(shape), np.zeros(shape)
 
-        def step(state, symbol, weight):
-            a, out, w = self.step(state[0], symbol, weight)
-            b, out, v = other.step(state[1], out, w)
-            return (a, b), out, v
+    def on(self, state, symbol, to=None, out=None, factor=1.0, more=0.0):
+        """Set one entry."""
+        self.next[state, symbol] = state if to is None else to
+        self.out[state, symbol] = symbol if out is None else out
+        self.factor[state, symbol], self.more[state, symbol] = factor, more
 
-        return Transducer((self.start, other.start), step)
+    def compose(self, other):
+        """This one's output read by `other`, as one table over the pairs of states that can be reached."""
+        pairs, rows = {(0, 0): 0}, []
+        todo = [(0, 0)]
+        for a, b in todo:
+            row = []
+            for symbol in SYMBOLS:
+                middle = self.out[a, symbol]
+                to = int(self.next[a, symbol]), int(other.next[b, middle])
+                if to not in pairs:
+                    pairs[to] = len(pairs)
+                    todo.append(to)
+                factor = other.factor[b, middle]
+                row.append((pairs[to], other.out[b, middle], self.factor[a, symbol] * factor, self.more[a, symbol] * factor + other.more[b, middle]))
+            rows.append(row)
+        made = Transducer(len(rows))
+        for state, row in enumerate(rows):
+            for symbol, entry in zip(SYMBOLS, row, strict=True):
+                made.on(state, symbol, *entry)
+        return made
+
+    def run(self, symbols):
+        """What comes out of (symbol, weight) pairs."""
+        state, out = 0, []
+        for symbol, weight in symbols:
+            out.append((int(self.out[state, symbol]), weight * self.factor[state, symbol] + self.more[state, symbol]))
+            state = self.next[state, symbol]
+        return out
 
     def clause(self, symbols):
-        """Weight of the best word of a clause of (symbol, weight)."""
-        state, best = self.start, 0.0
-        for symbol, weight in symbols:
-            state, _, w = self.step(state, symbol, weight)
-            best = max(best, w)
-        return best
+        """Weight of the best hostile symbol that comes out of a clause."""
+        return max((w for symbol, w in self.run(symbols) if symbol == HOSTILE), default=0.0)
 
 
-def insult_machine():
-    """Hostile terms keep their weight and gain some after a target."""
+def target_machine():
+    made = Transducer(2)
+    made.on(0, TARGET, to=1)
+    made.on(1, HOSTILE, out=AIMED)
+    return made
 
-    def step(seen, symbol, weight):
-        if symbol == HOSTILE:
-            return seen, HOSTILE, weight + TARGET_GAIN * seen
-        return seen or symbol == TARGET, symbol, weight
 
-    return Transducer(False, step)
+def insult_machine():
+    made = Transducer(1)
+    made.on(0, AIMED, out=HOSTILE, more=TARGET_GAIN)
+    return made
 
 
 def threat_machine():
-    """A threat counts once a target follows."""
-
-    def step(armed, symbol, weight):
-        if symbol == THREAT:
-            return True, OTHER, 0.0
-        if symbol == TARGET and armed:
-            return False, HOSTILE, THREAT_WEIGHT
-        return armed, symbol, weight
-
-    return Transducer(False, step)
+    made = Transducer(2)
+    made.on(0, THREAT, to=1, out=OTHER)
+    made.on(1, THREAT, out=OTHER)
+    made.on(1, TARGET, to=0, out=HOSTILE, factor=0.0, more=THREAT_WEIGHT)
+    return made
 
 
 def negation_machine():
-    """Hostile symbols within REACH words of a negation lose weight."""
-
-    def step(left, symbol, weight):
-        if symbol == NEGATION:
-            return REACH, OTHER, 0.0
-        if symbol == HOSTILE and left:
-            return left - 1, HOSTILE, max(weight - NEGATION_LOSS, 0.0)
-        return max(left - 1, 0), symbol, weight
-
-    return Transducer(0, step)
+    """State k: the next k words are governed by a negation."""
+    made = Transducer(REACH + 1)
+    for left in range(REACH + 1):
+        for symbol in SYMBOLS:
+            made.on(left, symbol, to=max(left - 1, 0))
+        made.on(left, NEGATION, to=REACH)
+        if left:
+            made.on(left, HOSTILE, to=left - 1, factor=NEGATED)
+    return made
 
 
 def report_machine():
-    """Hostile symbols after a verb of speech lose weight; other symbols weigh nothing."""
+    made = Transducer(2)
+    made.on(0, REPORT, to=1)
+    made.on(1, HOSTILE, factor=REPORTED)
+    return made
 
-    def step(reported, symbol, weight):
-        if symbol == HOSTILE:
-            return reported, HOSTILE, max(weight - REPORT_LOSS * reported, 0.0)
-        return reported or symbol == REPORT, OTHER, 0.0
 
-    return Transducer(False, step)
+def machines():
+    return [target_machine(), insult_machine(), threat_machine(), negation_machine(), report_machine()]
 
 
 def grammar():
-    return insult_machine().compose(threat_machine()).compose(negation_machine()).compose(report_machine())
+    """The five machines as one table."""
+    first, *rest = machines()
+    for machine in rest:
+        first = first.compose(machine)
+    return first
 
 
 MARKS = B.byte_set((0x00, 0x26), (0x28, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -191,20 +219,33 @@ def _clean_terms(held):
     return run
 
 
+def learnt(toxic, clean, n_toxic, n_clean):
+    """(log odds of terms by the documents that hold them, whether they are high enough and beyond chance).
+
+    Beyond chance: the tail of the binomial, by its exponential bound, times the number of terms is under CHANCE.
+    """
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    all_of = np.maximum(toxic + clean, 1)
+    share, usual = toxic / all_of, (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+    rest = np.maximum(1 - share, 1e-12)
+    apart = all_of * (share * np.log(np.maximum(share, 1e-12) / usual) + rest * np.log(rest / (1 - usual)))
+    return odds, (odds >= LEAST_ODDS) & (apart > np.log(max(len(odds), 1) / CHANCE))
+
+
 class Model:
-    """Sorted hashes of hostile terms with their log odds, and the prior log odds."""
+    """Sorted hashes of hostile terms with their log odds, the prior log odds and the composed grammar."""
 
     def __init__(self, term, toxic, clean, n_toxic, n_clean):
-        odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)) if len(term) else np.zeros(0)
-        keep = np.flatnonzero(odds >= LEAST_ODDS)
-        keep = keep[np.argsort(-(odds * toxic)[keep], kind="stable")][:LEXICON]
-        keep = keep[np.argsort(term[keep])]
-        self.term, self.odds = term[keep], odds[keep]
+        odds, keep = learnt(toxic, clean, n_toxic, n_clean)
+        order = np.flatnonzero(keep)
+        order = order[np.argsort(term[order])]
+        self.term, self.odds = term[order], odds[order]
         self.prior = float(np.log((n_toxic + 1) / (n_clean + 1))) if n_toxic + n_clean else -2.0
         classes = [(THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)]
         closed = {int(h): k for k, words in classes for h in known_words(words)}
         self.closed = np.array(sorted(closed), np.uint64)
         self.kinds = np.array([closed[int(h)] for h in self.closed])
+        self.grammar = grammar()
 
     def symbols(self, data, bounds):
         start, _, doc, made = word_terms(data, bounds)
@@ -216,7 +257,9 @@ class Model:
                 weight = np.maximum(weight, np.where(self.term[at] == h, self.odds[at], 0))
         at = np.searchsorted(self.closed, made[0])
         at[at == len(self.closed)] = 0
-        kind = np.where(weight > 0, HOSTILE, np.where(self.closed[at] == made[0], self.kinds[at], OTHER))
+        kind = np.where(self.closed[at] == made[0], self.kinds[at], OTHER)
+        kind = np.where((weight > 0) & ((kind == OTHER) | (kind == THREAT)), HOSTILE, kind)
+        weight = np.where(kind == HOSTILE, weight, 0.0)
         ends = np.concatenate([[0], np.cumsum(CLAUSE_END[data])])
         return doc, kind, weight, ends[start] if len(start) else start
 
@@ -230,14 +273,14 @@ class Model:
             key = doc * (len(data) + 2) + clause
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             stop = np.append(new[1:], len(key))
-            machine, best = grammar(), {}
+            best = {}
             for c in np.unique(np.searchsorted(new, np.flatnonzero(spot), side="right") - 1):
                 part = slice(new[c], stop[c])
-                w = machine.clause(zip(kind[part].tolist(), weight[part].tolist(), strict=True))
+                w = self.grammar.clause(zip(kind[part].tolist(), weight[part].tolist(), strict=True))
                 if w > 0:
                     best.setdefault(int(doc[new[c]]), []).append(w)
             for k, own in best.items():
-                sums[k] = max(own) + OTHERS_SHARE * min(sum(own) - max(own), 8.0)
+                sums[k] = max(own) + OTHERS_SHARE * (sum(own) - max(own))
                 matched[k] = len(own)
         return 1 / (1 + np.exp(-(self.prior + sums))), matched
 
@@ -248,7 +291,7 @@ def fit(df, labels, label_col="toxic", id_col="doc_id", text_col="text", sample=
     chosen = F.broadcast(sample_of(labels, label_col, id_col, sample))  # at most `sample` rows
     rows = runtime.cut(runtime.text_frame(df, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id")).select((F.col("label") > 0).alias("toxic"), "text"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    one = rows.where("toxic").select("text").mapInArrow(_toxic_terms, "term long, context long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST_CONTEXTS, LEAST_SHARE * sizes.get(True, 0))).toPandas()
+    one = rows.where("toxic").select("text").mapInArrow(_toxic_terms, "term long, context long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_CONTEXTS).toPandas()  # terms of at most `sample` documents
     term = one["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(term)
     term, toxic = term[order], one["n"].to_numpy(np.int64)[order]
@@ -275,5 +318,5 @@ def _score(held):
 def score(df, model, id_col="doc_id", text_col="text"):
     """doc_id, score, n_clauses (clauses that matched) of every row."""
     spark = runtime.ready(df.sparkSession)
-    held = spark.sparkContext.broadcast(model)  # at most LEXICON terms
+    held = spark.sparkContext.broadcast(model)  # terms of at most `sample` documents
     return runtime.text_frame(df, id_col, text_col).mapInArrow(_score(held), "doc_id long, score double, n_clauses long")

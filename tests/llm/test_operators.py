@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -429,8 +430,79 @@ def test_grammar():
     machine = toxicity.grammar()
     i, n, r, t, th, o = ((k, 5.0 if k == toxicity.HOSTILE else 0.0) for k in (toxicity.HOSTILE, toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET, toxicity.THREAT, toxicity.OTHER))
     plain = machine.clause([o, i])
-    assert machine.clause([t, i]) > plain > machine.clause([n, i]) and machine.clause([r, o, i]) < plain
+    assert machine.clause([t, i]) > plain > machine.clause([n, i]) and machine.clause([r, o, i]) < plain / 4
     assert machine.clause([th, o, t]) > 0 and machine.clause([th, o, o]) == 0 == machine.clause([n, t, o])
+    assert machine.clause([n, th, t]) == 0 and machine.clause([n, o, o, o, i]) == plain
+
+
+def test_composed_table_is_the_machines_one_after_another():
+    rng = random.Random(17)
+    whole = toxicity.grammar()
+    for _ in range(400):
+        clause = [(k, rng.random() * 6 if k == toxicity.HOSTILE else 0.0) for k in (rng.randrange(6) for _ in range(rng.randint(0, 9)))]
+        step = clause
+        for machine in toxicity.machines():
+            step = machine.run(step)
+        got = whole.run(clause)
+        assert [s for s, _ in got] == [s for s, _ in step] and np.allclose([w for _, w in got], [w for _, w in step])
+
+
+def toxic_model(odds):
+    """A model that has learnt the given words."""
+    words = sorted(odds)
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 20, 180)
+    hashes = toxicity.known_words(words)
+    order = np.argsort(hashes)
+    model.term, model.odds = hashes[order], np.array([odds[words[k]] for k in order])
+    return model
+
+
+def test_toxicity_scores_clauses_against_brute_force():
+    odds = {"grumbo": 5.0, "snarf": 4.2}
+    model = toxic_model(odds)
+    rng = random.Random(23)
+    words = ["grumbo", "Snarf", "you", "not", "said", "kill", "blue", "stone", "the"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "; ", ", "]) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    want = []
+    for t in texts:
+        best = []
+        for clause in re.split("[\n!.;?]", t.lower()):
+            target = reported = armed = False
+            governed, most = 0, 0.0
+            for w in re.findall("[a-z']+", clause):
+                weight = 0.0
+                if w in odds:
+                    weight = odds[w] + toxicity.TARGET_GAIN * target
+                if w == "you":
+                    target = True
+                    if armed:
+                        armed, weight = False, toxicity.THREAT_WEIGHT
+                armed = armed or w == "kill"
+                weight *= (toxicity.NEGATED if governed else 1) * (toxicity.REPORTED if reported else 1)
+                governed = toxicity.REACH if w == "not" else max(governed - 1, 0)
+                reported = reported or w == "said"
+                most = max(most, weight)
+            if most > 0:
+                best.append(most)
+        total = max(best, default=0) + toxicity.OTHERS_SHARE * (sum(best) - max(best, default=0))
+        want.append(1 / (1 + np.exp(-(np.log(21 / 181) + total))))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    got = np.concatenate([model.score(data, bounds)[0] for _, _, data, bounds in bytesops.chunks(batch)])
+    assert np.allclose(got, want)
+
+
+def test_negation_and_reported_speech_turn_a_document():
+    texts = ["what a grumbo", "you are not a grumbo", "she said he was a grumbo", "they will kill you", "they will not kill you", None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    got = np.concatenate([toxic_model({"grumbo": 5.0}).score(data, bounds)[0] for _, _, data, bounds in bytesops.chunks(batch)])
+    assert (got >= 0.3).tolist() == [True, False, False, True, False, False, False]
+
+
+def test_terms_are_learnt_beyond_chance_only():
+    _, keep = toxicity.learnt(np.array([5, 12, 60, 60]), np.array([0, 0, 0, 500]), 2000, 18000)
+    assert keep.tolist() == [True, True, True, False]
+    _, keep = toxicity.learnt(np.full(100_000, 5), np.zeros(100_000), 2000, 18000)
+    assert not keep.any()  # as many words of five contexts are met by chance
 
 
 def test_language_id(spark):
