@@ -57,7 +57,8 @@ class Lake:
         try:
             n = rows.count()
             if n:
-                rows.repartition("year").write.mode("append").partitionBy(*PARTITIONS).option("compression", "zstd").parquet(self.path)
+                # Rebalanced by year: a year's many rows are split over tasks and files, years of few rows share a task.
+                rows.hint("rebalance", "year").write.mode("append").partitionBy(*PARTITIONS).option("compression", "zstd").parquet(self.path)
             return n
         finally:
             rows.unpersist()

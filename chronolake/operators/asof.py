@@ -2,8 +2,8 @@
 
 A lookup is a union of both sides and one ordered pass (last or first non-null value).  The pass is
 partitioned by key and time bucket, so a key that holds a third of all rows is spread over its
-buckets; what a bucket inherits from those before it comes from one row a bucket, joined afterwards.
-`left` stands once in the plan, so joins can be nested.
+buckets.  What a bucket inherits from those before it is one more pass over one row a bucket of the key: only
+buckets that have rows, and no more of them than BUCKETS a key.  `left` stands once in the plan, so joins can be nested.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -21,12 +21,15 @@ def _bucket(column):
 def asof(left: DataFrame, right: DataFrame, by: list, left_on: str, right_on: str, values: list, direction: str = "backward", suffix: str = "") -> DataFrame:
     """left with right's `values` (and its time as `<right_on><suffix>`) at the last time <= left_on, or the first >= it.
 
-    Each (by, right_on) is taken once, the greatest `values` on ties.  Rows without a match keep nulls.
+    Each (by, right_on) is taken once, the greatest `values` on ties.  Rows without a match keep nulls; null keys
+    are equal to each other.
     """
     forward = direction == "forward"
     names = [right_on, *values]
     found = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
-    prices = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(F.struct(*values)).alias("_v")).select(*by, right_on, "_v.*").select(*by, F.col(right_on).alias("_t"), found.alias("_found"))
+    one = F.max(values[0]) if len(values) == 1 else F.max(F.struct(*values))
+    prices = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(one.alias("_v"))
+    prices = prices.select(*by, right_on, *([F.col("_v").alias(values[0])] if len(values) == 1 else ["_v.*"])).select(*by, F.col(right_on).alias("_t"), found.alias("_found"))
     asked = left.select(*[F.col(c).alias(f"_l_{c}") for c in left.columns])
     asked = asked.select(*[F.col(f"_l_{c}").alias(c) for c in by], F.col(f"_l_{left_on}").alias("_t"), F.struct(*asked.columns).alias("_left"))
     empty = F.lit(None)
@@ -36,17 +39,13 @@ def asof(left: DataFrame, right: DataFrame, by: list, left_on: str, right_on: st
     inside = Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").desc() if forward else F.col("_t"), F.col("_side").desc() if forward else F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
     own = rows.withColumn("_own", F.last("_found", ignorenulls=True).over(inside)).where("_left IS NOT NULL")
     edge = F.min_by if forward else F.max_by
-    ends = prices.withColumn("_bucket", _bucket("_t")).groupBy(*by, "_bucket").agg(edge("_found", "_t").alias("_end"))
-    # An end is what the buckets after it (before it, going forward) inherit, up to the next bucket that has prices.
-    across = Window.partitionBy(*by).orderBy("_bucket")
-    if forward:
-        reach = F.when(F.col("_bucket") > FIRST, F.sequence(F.coalesce(F.lag("_bucket").over(across), F.lit(FIRST)), F.col("_bucket") - 1))
-        ends = ends.withColumn("_reach", reach)
-    else:
-        reach = F.when(F.col("_bucket") < LAST, F.sequence(F.col("_bucket") + 1, F.coalesce(F.lead("_bucket").over(across), F.lit(LAST))))
-        ends = ends.withColumn("_reach", reach)
-    carried = ends.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.explode("_reach").alias("_b"), F.col("_end").alias("_carried"))
-    on = own["_bucket"].eqNullSafe(carried["_b"])
+    # The last found value of each bucket, and with it what the buckets after it inherit (going forward, the first and those before).
+    ends = prices.select(*by, _bucket("_t").alias("_bucket"), "_t", "_found").groupBy(*by, "_bucket").agg(edge("_found", "_t").alias("_end"))
+    ends = ends.unionByName(asked.select(*by, _bucket("_t").alias("_bucket")).distinct().withColumn("_end", empty.cast(ends.schema["_end"].dataType)))
+    across = Window.partitionBy(*by).orderBy(F.col("_bucket").desc() if forward else F.col("_bucket")).rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(across)).where("_end IS NULL AND _carried IS NOT NULL")
+    carried = carried.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b"), "_carried")
+    on = own["_bucket"] == carried["_b"]
     for c in by:
         on &= own[c].eqNullSafe(carried[f"_b_{c}"])
     joined = own.join(carried, on, "left").withColumn("_hit", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_carried")))

@@ -1,35 +1,45 @@
 """Version resolution: which of several rows with one key counts.
 
-All are partial aggregates (max_by over a struct), so a key with very many versions is counted down on
-the map side instead of being sorted in one task, as a row number over a window would.
+All are partial aggregates (the greatest struct of order and row), so a key with very many versions is counted down on
+the map side, and one row of it a map task is shuffled, where a row number over a window would sort all of them in one task.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def _order(df: DataFrame, by: list, ties: list | None) -> Column:
-    """A total order: `by`, then `ties`, then a hash and the text of the whole row."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return F.struct(*by, *(ties or []), F.xxhash64(*df.columns).alias("_hash"), F.to_json(row).alias("_row"))
+from pyspark.sql import types as T
 
 
 def _cols(names) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def _orderable(kind) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def _ranked(df: DataFrame, by: list, ties: list | None) -> Column:
+    """Order and row in one struct: `by`, then `ties`, then the row itself (as text, where its columns have no order)."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    last = [] if all(_orderable(f.dataType) for f in df.schema) else [F.to_json(row).alias("_text")]
+    return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate([*_cols(by), *_cols(ties or [])])], *last, row.alias("_row"))
+
+
 def latest(df: DataFrame, key: list, by: list, ties: list | None = None) -> DataFrame:
     """The greatest row of each key by `by`; full ties are broken by `ties`, then by the row itself."""
-    every = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*key).agg(F.max_by(every, _order(df, _cols(by), _cols(ties or []))).alias("_row"))
-    return best.select("_row.*")
+    ranked = _ranked(df, by, ties)
+    if all(_orderable(f.dataType) for f in df.schema):
+        return df.groupBy(*key).agg(F.max(ranked).alias("_best")).select("_best._row.*")
+    return df.groupBy(*key).agg(F.max_by(ranked["_row"], ranked.dropFields("_row")).alias("_row")).select("_row.*")
 
 
 def earliest(df: DataFrame, key: list, by: list, ties: list | None = None) -> DataFrame:
     """The least row of each key by `by`."""
-    every = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*key).agg(F.min_by(every, _order(df, _cols(by), _cols(ties or []))).alias("_row"))
-    return best.select("_row.*")
+    ranked = _ranked(df, by, ties)
+    if all(_orderable(f.dataType) for f in df.schema):
+        return df.groupBy(*key).agg(F.min(ranked).alias("_best")).select("_best._row.*")
+    return df.groupBy(*key).agg(F.min_by(ranked["_row"], ranked.dropFields("_row")).alias("_row")).select("_row.*")
 
 
 def known_by(df: DataFrame, moment, key: list, known: str = "known_at", ties: list | None = None) -> DataFrame:
@@ -40,9 +50,10 @@ def known_by(df: DataFrame, moment, key: list, known: str = "known_at", ties: li
 def with_first_known(df: DataFrame, moment, key: list, known: str = "known_at", ties: list | None = None) -> DataFrame:
     """known_by with first_known_at, the least `known` among all versions, in the same pass."""
     rows = df.where(F.col(known) <= moment)
-    every = F.struct(*[F.col(c) for c in rows.columns])
-    order = _order(rows, [F.col(known)], _cols(ties or []))
-    best = rows.groupBy(*key).agg(F.max_by(every, order).alias("_row"), F.min(known).alias("first_known_at"))
+    ranked = _ranked(rows, [known], ties)
+    if all(_orderable(f.dataType) for f in rows.schema):
+        return rows.groupBy(*key).agg(F.max(ranked).alias("_best"), F.min(known).alias("first_known_at")).select("_best._row.*", "first_known_at")
+    best = rows.groupBy(*key).agg(F.max_by(ranked["_row"], ranked.dropFields("_row")).alias("_row"), F.min(known).alias("first_known_at"))
     return best.select("_row.*", "first_known_at")
 
 

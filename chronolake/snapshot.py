@@ -47,10 +47,12 @@ class Snapshot:
         return self.guarded(rows)
 
     def guarded(self, rows: DataFrame) -> DataFrame:
-        """rows whose known_at and as_of fail the running query if they lie after the instant."""
-        limit = F.lit(self._moment)
-        checked = lambda c: F.when(F.col(c) > limit, F.raise_error(F.lit(f"{c} after the snapshot's instant")).cast("timestamp")).otherwise(F.col(c))
-        return rows.withColumns({c: checked(c) for c in ("known_at", "as_of")})
+        """rows, but the running query fails at one whose known_at or as_of lies after the instant.
+
+        The guard is a filter, so the columns stay plain and filters on them still reach the scan.
+        """
+        late = (F.col("known_at") > F.lit(self._moment)) | (F.col("as_of") > F.lit(self._moment))
+        return rows.where(F.when(late, F.raise_error(F.lit("a row after the snapshot's instant")).cast("boolean")).otherwise(F.lit(True)))
 
     def ohlcv_daily(self, **how):
         return self.frame("ohlcv_daily", **how)
@@ -98,12 +100,17 @@ class Snapshot:
         return spark.sql(query)
 
 
-#: Functions that reach outside the tables.
-FORBIDDEN = ("java_method", "reflect", "try_reflect", "read_files", "input_file_name")
+#: Functions that reach outside the tables or end the query.
+FORBIDDEN = ("java_method", "reflect", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length", "raise_error", "assert_true", "current_user", "session_user", "user", "version")
+#: Nodes of a parsed query that read nothing by themselves; every other one is refused.
+PLAIN = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Join", "LateralJoin", "AsOfJoin", "SubqueryAlias", "Union", "Intersect", "Except", "UnresolvedHaving",
+    "WithWindowDefinition", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "Pivot", "UnresolvedPivot", "Unpivot", "Generate", "UnresolvedHint", "Sample", "UnresolvedWith", "UnresolvedRelation", "Subquery", "Expand", "Window",
+}
 
 
 def check_query(spark, query: str, allowed: set) -> None:
-    """Raise SandboxError unless the parsed plan is a query over `allowed` names and its own common table expressions."""
+    """Raise SandboxError unless the parsed plan is made of PLAIN nodes over `allowed` names and its own common table expressions."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     names = {n.lower() for n in allowed}
     _walk(plan, names)
@@ -114,9 +121,9 @@ def _seq(s):
 
 
 def _walk(plan, names: set) -> None:
-    kind = plan.getClass().getSimpleName()
-    if "Command" in kind or kind.startswith(("InsertInto", "Create", "Drop", "Set", "Delete", "Update", "Merge", "Replace", "Alter", "Cache", "Uncache", "Describe", "Show", "Use", "Refresh", "Truncate", "Load", "Add")):
-        raise SandboxError(f"only queries are allowed, not {kind}")
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in PLAIN:
+        raise SandboxError(f"{kind} is not allowed in a query over a snapshot")
     if kind == "UnresolvedWith":
         names = set(names)
         for pair in _seq(plan.cteRelations()):
@@ -126,8 +133,6 @@ def _walk(plan, names: set) -> None:
         parts = _seq(plan.multipartIdentifier())
         if len(parts) != 1 or parts[0].lower() not in names:
             raise SandboxError(f"{'.'.join(parts)} is not one of the tables of this query")
-    if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
-        raise SandboxError("table functions are not allowed")
     for expression in _seq(plan.expressions()):
         _expression(expression, names)
     for child in _seq(plan.children()):
@@ -136,10 +141,13 @@ def _walk(plan, names: set) -> None:
 
 def _expression(e, names: set) -> None:
     kind = e.getClass().getSimpleName()
-    if kind == "UnresolvedFunction" and _seq(e.nameParts())[-1].lower() in FORBIDDEN:
-        raise SandboxError(f"{_seq(e.nameParts())[-1]} is not allowed")
-    if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        if kind != "InSubquery":
-            _walk(e.plan(), names)
+    if "UnresolvedIdentifier" in kind:
+        raise SandboxError("IDENTIFIER() is not allowed")
+    if kind == "UnresolvedFunction":
+        parts = _seq(e.nameParts())
+        if len(parts) > 1 or parts[0].lower() in FORBIDDEN:
+            raise SandboxError(f"{'.'.join(parts)} is not allowed")
+    if "plan" in dir(e) and kind != "InSubquery":
+        _walk(e.plan(), names)
     for child in _seq(e.children()):
         _expression(child, names)

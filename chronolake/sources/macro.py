@@ -42,7 +42,7 @@ def _observations(payloads: DataFrame) -> DataFrame:
 
 def settled_observations(payloads: DataFrame, policy: DataFrame, lag_hours: int = 24) -> DataFrame:
     """Series that are never revised (symbol, payload); policy: (symbol, units, revised). A series that is revised or unclassified fails."""
-    judged = payloads.join(F.broadcast(policy), "symbol", "left")
+    judged = payloads.join(policy, "symbol", "left")
     sound = demand(F.coalesce(~F.col("revised"), F.lit(False)), F.col("symbol"), F.concat(F.lit("not known to be free of revisions: "), "symbol"), "string")
     rows = _observations(judged.withColumn("symbol", sound))
     at = instant(F.to_date("_o.date"))

@@ -36,7 +36,7 @@ def coverage(bars: DataFrame, sessions: DataFrame, least: float = 0.95) -> DataF
     """symbol, expected, received, share, enough: sessions between a symbol's first and last bar that have a bar."""
     days = bars.select("symbol", "venue", F.to_date("as_of").alias("day")).distinct()
     spans = days.groupBy("symbol", "venue").agg(F.min("day").alias("_a"), F.max("day").alias("_z"), F.count(F.lit(1)).alias("received"))
-    expected = spans.join(F.broadcast(sessions.select("venue", "day")), "venue").where("day BETWEEN _a AND _z").groupBy("symbol", "venue").agg(F.count(F.lit(1)).alias("expected"))
+    expected = spans.join(sessions.select("venue", "day"), "venue").where("day BETWEEN _a AND _z").groupBy("symbol", "venue").agg(F.count(F.lit(1)).alias("expected"))
     out = spans.join(expected, ["symbol", "venue"]).withColumn("share", F.col("received") / F.col("expected"))
     return out.select("symbol", "expected", "received", "share", (F.col("share") >= least).alias("enough"))
 
@@ -96,7 +96,7 @@ def index_history(payloads: DataFrame, reliable_from=None) -> DataFrame:
     cell = F.split("line", ",")
     rows = rows.select("symbol", F.to_date(F.trim(cell[0]), "M/d/yyyy").alias("day"), number(F.element_at(cell, F.col("_at"))).alias("value")).where("value IS NOT NULL")
     if reliable_from is not None:
-        rows = rows.join(F.broadcast(reliable_from), "symbol", "left").where("reliable_from IS NULL OR day >= reliable_from")
+        rows = rows.join(reliable_from, "symbol", "left").where("reliable_from IS NULL OR day >= reliable_from")
     moment = C.eastern_instant(F.col("day"), 16, 15)
     return stamped(rows.withColumns({"as_of": moment, "known_at": moment, "units": F.lit("index"), "vintage": F.lit(False)}), "cboe", "series_observations")
 

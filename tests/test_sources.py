@@ -148,6 +148,13 @@ def test_disclosures(spark):
     assert (two.symbol, two.owner, two.asset, two.transaction_type, two.amount_min, two.amount_max, two.filing_status) == ("NO_TICKER", None, "Treasury Note", "sale_partial", 50000000.0, None, "amended")
     with pytest.raises(Exception, match="not recognised"):
         disclosures.house_reports(df.withColumn("payload", F.replace("payload", F.lit("S (partial)"), F.lit("?")))).collect()
+    # A full line of a labelled field goes on in the next; a short one does not, and there the next asset begins.
+    full, page = "D : " + "long words " * 9, "ID Owner Asset Transaction\nType Date Notification\nDate Amount Cap.\nGains >\n$200?"
+    wrapped = PTR.replace("D          : bought by the advisor", f"{full}\ngoes on here\nFiling ID #20001234\n{page}")
+    again = {r.line: r for r in disclosures.house_reports(df.withColumn("payload", F.lit(wrapped))).collect()}
+    assert len(full) >= 95 and (again[2].asset, again[1].filing_status) == ("Treasury Note", "new")
+    short = PTR.replace("D          : bought by the advisor", "D : short\nFirst part of")
+    assert {r.line: r.asset for r in disclosures.house_reports(df.withColumn("payload", F.lit(short))).collect()}[2] == "First part of Treasury Note"
     cell = lambda *c: "<tr>" + "".join(f"<td> {x}</td>" for x in c) + "</tr>"
     html = "<p>Filed 01/05/2024 @ 3:07 PM</p><table><tbody>" + cell(1, "01/02/2024", "Spouse", "<a>MSFT</a>", "Microsoft", "Stock", "Sale (Full)", "$1,001 - $15,000", "--") + cell(2, "01/02/2024", "Self", "--", "Fund &amp; Co (FND)", "Fund", "Purchase", "$50,001 - $100,000", "--") + "</tbody></table>"
     pages = spark.createDataFrame([("S1", "Sen X", "u", False, dt.date(2024, 1, 5), html)], "doc_id string, member string, url string, amended boolean, filed_on date, payload string")
