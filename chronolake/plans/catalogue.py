@@ -36,10 +36,14 @@ def query(sql: str | None, days: tuple = ()):
 
 
 def queries():
+    from chronolake.plans import lake_catalogue  # noqa: F401  registers its queries
+
     return QUERIES
 
 
 def oracle_sql():
+    from chronolake.plans import lake_catalogue  # noqa: F401
+
     return SQL
 
 
@@ -191,27 +195,16 @@ def excess_return(spark, sf_dir):
     return excess(rows, closes, "day_in", 180, "excess", 0).where("excess IS NOT NULL").select("o_orderkey", F.round("excess", 7).alias("excess"))
 
 
-@query(f"""
-    WITH p AS ({_PRICES}), d AS (SELECT DISTINCT l_partkey FROM p WHERE l_partkey < 50), g AS (SELECT l_partkey, CAST(DATE '1998-01-01' + CAST(i * 7 AS INTEGER) AS DATE) AS grid FROM d, range(0, 100) t(i))
-    SELECT g.l_partkey, g.grid, p.close FROM g ASOF JOIN p ON g.l_partkey = p.l_partkey AND g.grid >= p.day""", ('grid',))
-def carry_forward(spark, sf_dir):
-    """Values of a weekly grid, carried forward from the last price."""
-    p = prices(spark, sf_dir)
-    weeks = F.explode(F.sequence(F.to_date(F.lit("1998-01-01")), F.to_date(F.lit("1999-11-25")), F.expr("INTERVAL 7 DAYS"))).alias("grid")
-    grid = p.where("l_partkey < 50").select("l_partkey").distinct().select("l_partkey", weeks)
-    return asof(grid, p, ["l_partkey"], "grid", "day", ["close"]).where("day IS NOT NULL").select("l_partkey", "grid", "close")
-
-
 @query(f"""
     WITH p AS ({_PRICES}), b AS (SELECT min(day) AS lo, max(day) AS hi FROM p),
          w AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS grid FROM b),
          g AS (SELECT l_partkey, grid FROM (SELECT DISTINCT l_partkey FROM p), w)
     SELECT g.l_partkey, g.grid, p.close FROM g ASOF JOIN p ON g.l_partkey = p.l_partkey AND g.grid >= p.day""", ('grid',))
-def carry_forward_whole(spark, sf_dir):
-    """carry_forward for all parts, over the weeks from the first ship day to the last."""
+def carry_forward(spark, sf_dir):
+    """Values of a weekly grid, carried forward from the last price: all parts, from the first ship day to the last."""
     p = prices(spark, sf_dir)
     weeks = p.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("grid"))
-    grid = p.select("l_partkey").distinct().join(F.broadcast(weeks))
+    grid = p.select("l_partkey").distinct().crossJoin(F.broadcast(weeks))  # a week is a row: some 350 of them
     return asof(grid, p, ["l_partkey"], "grid", "day", ["close"]).where("day IS NOT NULL").select("l_partkey", "grid", "close")
 
 
@@ -237,22 +230,11 @@ def nullsafe_join(spark, sf_dir):
     return a.join(b, F.col("s").eqNullSafe(F.col("t"))).select(F.col("s").alias("segment"), "n", "total")
 
 
-@query("""
-    WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 2 = 0 GROUP BY 1),
-         b AS (SELECT l_suppkey AS k, count(*) AS m FROM lineitem WHERE l_quantity < 5 AND l_suppkey % 3 = 0 GROUP BY 1)
-    SELECT k, a.n, b.m FROM a FULL JOIN b USING (k)""")
-def full_outer_coalesced(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
-    a = li.where("l_quantity > 45 AND k % 2 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    b = li.where("l_quantity < 5 AND k % 3 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("m"))
-    return a.join(b, "k", "full")
-
-
 @query("""
     WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2),
          b AS (SELECT l_suppkey, l_partkey, count(*) AS m FROM lineitem WHERE l_quantity < 5 GROUP BY 1, 2)
     SELECT l_suppkey, l_partkey, a.n, b.m FROM a FULL JOIN b USING (l_suppkey, l_partkey)""")
-def full_outer_whole(spark, sf_dir):
+def full_outer_coalesced(spark, sf_dir):
     """Large and small lines of every supplier's parts; the sides differ by what the lines hold, not by their keys."""
     li, keys = table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"]
     a = li.where("l_quantity > 45").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -338,18 +320,29 @@ def monthly_signed_flows(spark, sf_dir):
 @query("""
     SELECT l_partkey, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_suppkey END) AS buyers, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS sellers FROM lineitem GROUP BY 1""")
 def people_per_side(spark, sf_dir):
-    side = lambda f: F.count_distinct(F.when(F.col("l_returnflag") == f, F.col("l_suppkey")))
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(side("A").alias("buyers"), side("R").alias("sellers"))
+    from chronolake.plans.analytics import ranked_tickers
+
+    return ranked_tickers(_sided_lines(spark, sf_dir)).select(F.col("ticker").cast("long").alias("l_partkey"), "buyers", "sellers")
+
+
+def _sided_lines(spark, sf_dir):
+    """Lines as events: a part is a ticker, a supplier an actor."""
+    flag = F.col("l_returnflag")
+    side = F.when(flag == "A", "buy").when(flag == "R", "sell").otherwise("none")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("ticker"), F.lit("congress").alias("kind"), F.lit(None).cast("string").alias("asset"), side.alias("direction"), F.col("l_suppkey").cast("string").alias("actor_id"), F.col("l_shipdate").alias("disclosed_at"), F.col("l_orderkey").cast("string").alias("id"))
 
 
 @query("""
     SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS buys, count(CASE WHEN event_type = 'view' THEN 1 END) AS sells, count(DISTINCT event_type) AS tickers
-    FROM events WHERE event_type <> 'error' GROUP BY 1 ORDER BY buys + sells DESC, user_id LIMIT 9""")
+    FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1 ORDER BY buys + sells DESC, user_id DESC LIMIT 9""")
 def top_people(spark, sf_dir):
     """A top-9 report."""
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    out = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("buys"), F.count_if(F.col("event_type") == "view").alias("sells"), F.count_distinct("event_type").alias("tickers"))
-    return out.orderBy((F.col("buys") + F.col("sells")).desc(), "user_id").limit(9)
+    from chronolake.plans.analytics import ranked_people
+
+    e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'view')")
+    user = F.col("user_id")
+    rows = e.select(user.cast("string").alias("actor_id"), F.lpad(user.cast("string"), 12, "0").alias("actor"), F.lit("user").alias("role"), F.lit("congress").alias("kind"), F.when(F.col("event_type") == "purchase", "buy").otherwise("sell").alias("direction"), F.col("event_type").alias("ticker"), F.col("ts").alias("disclosed_at"), F.col("event_id").cast("string").alias("id"))
+    return ranked_people(rows).limit(9).select(F.col("actor_id").cast("long").alias("user_id"), "buys", "sells", "tickers")
 
 
 @query("""
@@ -370,10 +363,14 @@ def fixed_groups(spark, sf_dir):
 
 
 @query("""
-    SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT user_id) AS people, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 2""", ('day',))
+    SELECT CAST(l_partkey AS VARCHAR) AS ticker, count(DISTINCT l_suppkey) AS people, round(sum(l_extendedprice), 2) AS value_usd FROM lineitem
+    WHERE l_returnflag = 'A' AND l_tax > 0.02 GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2""")
 def cluster_buys(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type")
-    return e.agg(F.count_distinct("user_id").alias("people"), F.round(F.sum("value"), 2).alias("total")).where("people >= 2")
+    from chronolake.plans import pages
+
+    li = table(spark, sf_dir, "lineitem").select("*", F.col("l_shipdate").alias("disclosed_at"), F.col("l_orderkey").cast("string").alias("id"))
+    rows = li.select(F.lit("insider").alias("kind"), F.when(F.col("l_returnflag") == "A", "buy").otherwise("sell").alias("direction"), (F.col("l_tax") <= 0.02).alias("noise"), F.col("l_partkey").cast("string").alias("ticker"), F.lit(None).cast("string").alias("asset"), F.col("l_suppkey").cast("string").alias("actor_id"), F.col("l_extendedprice").alias("value_usd"), "disclosed_at", "id")
+    return pages.cluster_buys(rows).select("ticker", "people", F.round("value_usd", 2).alias("value_usd"))
 
 
 @query("""
