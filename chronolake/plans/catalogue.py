@@ -631,7 +631,17 @@ def largest_by_magnitude(spark, sf_dir):
 
 
 # Calendars ------------------------------------------------------------------------------------
-@query(None, ('start', 'due_on'))
+@query("""
+    WITH days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2045-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+         dated AS (SELECT make_date(CAST(y AS INTEGER), m, d) AS d FROM range(1990, 2047) t(y), (VALUES (1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)) f(m, d, since) WHERE y >= since),
+         ranked AS (SELECT day, month(day) AS m, isodow(day) AS w, row_number() OVER (PARTITION BY year(day), month(day), isodow(day) ORDER BY day) AS k, row_number() OVER (PARTITION BY year(day), month(day), isodow(day) ORDER BY day DESC) AS back FROM days),
+         shut AS (SELECT CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d + 1 ELSE d END AS day FROM dated
+                  UNION SELECT day FROM ranked WHERE w = 1 AND ((m IN (1, 2) AND k = 3) OR (m = 5 AND back = 1) OR (m = 9 AND k = 1) OR (m = 10 AND k = 2)) OR (w = 4 AND m = 11 AND k = 4)),
+         cal AS (SELECT day, isodow(day) < 6 AND day NOT IN (SELECT day FROM shut) AS worked FROM days),
+         dim AS (SELECT day, min(CASE WHEN worked THEN day END) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS due, sum(CAST(worked AS INTEGER)) OVER (ORDER BY day) AS ix FROM cal),
+         o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS start FROM orders)
+    SELECT o.o_orderkey, o.start, d.due AS due_on, CAST(greatest(e.ix - s.ix, 0) AS BIGINT) AS workdays
+    FROM o LEFT JOIN dim d ON d.day = o.start + 45 LEFT JOIN dim s ON s.day = o.start LEFT JOIN dim e ON e.day = d.due""", ("start", "due_on"))
 def workday_due(spark, sf_dir):
     """45 days after each order day, moved to a federal working day (tested against known holidays)."""
     days = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"))
