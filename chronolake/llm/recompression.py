@@ -120,13 +120,13 @@ def _least(n, from_, to, key):
 PLACE = 28
 
 
-def find_runs(data, bounds, span=SPAN, many=ROUNDS):
-    """(document, first window, windows, place of the anchor in the first window, bucket, two names) of the runs of a chunk, in words."""
+def find_runs(data, bounds, span=SPAN, many=ROUNDS, named=True):
+    """(document, first window, windows, place of the anchor in the first window, bucket, and if named two names) of the runs of a chunk, in words."""
     start, end, doc = B.word_spans(data, bounds, B.BLANKS)
     none = np.zeros(0, np.int64)
     n = len(start)
     if n < span:
-        return none, none, none, none, *(none.view(np.uint64),) * 3
+        return none, none, none, none, *(none.view(np.uint64),) * (3 if named else 1)
     roll = B.roller(61)
     word = roll.ranges(roll.prefix(data), start, end)
     words = np.bincount(doc, minlength=len(bounds) - 1)
@@ -155,9 +155,10 @@ def find_runs(data, bounds, span=SPAN, many=ROUNDS):
     e = np.flatnonzero(fits & (np.append(edge[1:], True) | ~np.append(fits[1:], False)))
     bucket = B.mix(own.ranges(prefix, a[s], z[s]) + (anchor[s] - a[s]).astype(np.uint64) * _A + (z[s] - a[s]).astype(np.uint64) * _B)
     names = []
-    for seed in (63, 64):  # each from word hashes of its own
-        other, over = B.roller(seed), B.roller(seed + 2)
-        names.append(over.ranges(over.prefix_of(other.ranges(other.prefix(data), start, end)), s, e + span))
+    if named:  # each from word hashes of its own
+        other = B.roller(63)
+        for over, units in ((B.roller(64), word), (B.roller(65), other.ranges(other.prefix(data), start, end))):
+            names.append(over.ranges(over.prefix_of(units), s, e + span))
     return doc[s], s - first[doc[s]], e - s + 1, anchor[s] - s, bucket, *names
 
 
@@ -227,6 +228,6 @@ def dedup(df, id_col="doc_id", text_col="text", span=SPAN, many=ROUNDS, with_tex
     """SCHEMA for every row; with_text also kept (words that stay, joined by a space) and spans (in words)."""
     runtime.ready(df.sparkSession)
     docs, _ = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "key", repeated=True)
-    find = lambda data, bounds: find_runs(data, bounds, span, many)
+    find = lambda data, bounds, named: find_runs(data, bounds, span, many, named)
     found = repeats.repeated(docs, find, _parts(span), _bodies(span), pa.string(), _piece, span, [min(w, span) for w in widths], True)
     return repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))

@@ -32,15 +32,15 @@ NAME = ["bucket", "name", "more", "len", "lead"]
 PART = 1 << 18
 
 
-def _found(batch, find, parts):
+def _found(batch, find, parts, named):
     """(row, find's arrays with places in the document) of a batch, chunk by chunk, long documents part by part."""
     for i, j, data, bounds in B.chunks(batch, max_bytes=PART):
         if j - i > 1 or len(data) <= 2 * PART:
-            doc, pos, *rest = find(data, bounds)
+            doc, pos, *rest = find(data, bounds, named)
             yield i + doc, pos, *rest
         else:
             for before, part in parts(data):
-                doc, pos, *rest = find(part, np.array([0, len(part)]))
+                doc, pos, *rest = find(part, np.array([0, len(part)]), named)
                 yield i + doc, pos + before, *rest
 
 
@@ -48,7 +48,7 @@ def _runs(find, parts):
     def run(batches):
         for batch in batches:
             ids = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "doc_id")]
-            for row, pos, count, lead, bucket, name, more in _found(batch, find, parts):
+            for row, pos, count, lead, bucket, name, more in _found(batch, find, parts, True):
                 if len(row):
                     at = pa.array(row)
                     hashes = [pa.array(x.view(np.int64)) for x in (bucket, name, more)]
@@ -60,7 +60,7 @@ def _runs(find, parts):
 def _buckets(find, parts):
     def run(batches):
         for batch in batches:
-            for _, _, _, _, bucket, _, _ in _found(batch, find, parts):
+            for _, _, _, _, bucket in _found(batch, find, parts, False):
                 if len(bucket):
                     yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64))], ["bucket"])
 

@@ -29,12 +29,12 @@ PLACE = 30
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def find_runs(data, bounds, span=SPAN, q=Q):
-    """(document, first window, windows, place of the anchor in the first window, bucket, two names) of the runs of a chunk."""
+def find_runs(data, bounds, span=SPAN, q=Q, named=True):
+    """(document, first window, windows, place of the anchor in the first window, bucket, and if named two names) of the runs of a chunk."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none, *(none.view(np.uint64),) * 3
+        return none, none, none, none, *(none.view(np.uint64),) * (3 if named else 1)
     roll = B.roller(1)
     at = np.arange(n - q + 1)
     gram = roll.ranges(roll.prefix(data), at, at + q)
@@ -48,7 +48,7 @@ def find_runs(data, bounds, span=SPAN, q=Q):
     new = fits & (edge | ~np.append(False, fits[:-1]))
     last = fits & (np.append(edge[1:], True) | ~np.append(fits[1:], False))
     s, e = np.flatnonzero(new), np.flatnonzero(last)
-    names = [r.ranges(r.prefix(data), s, e + span) for r in (B.roller(2), B.roller(3))]
+    names = [r.ranges(r.prefix(data), s, e + span) for r in (B.roller(2), B.roller(3)) if named]
     return doc[s], s - bounds[doc[s]], e - s + 1, anchor[s] - s, gram[anchor[s]], *names
 
 
@@ -107,6 +107,6 @@ def dedup(df, id_col="doc_id", text_col="text", span=SPAN, with_text=False, widt
     runtime.ready(df.sparkSession)
     docs, _ = runtime.numbered(runtime.text_frame(df, id_col, text_col), "doc_id", "key", repeated=True)
     q = min(Q, span // 2)
-    find = lambda data, bounds: find_runs(data, bounds, span, q)
+    find = lambda data, bounds, named: find_runs(data, bounds, span, q, named)
     found = repeats.repeated(docs, find, _parts(span), _bodies(span), pa.binary(), _piece, span, [min(w, span) for w in widths], False)
     return repeats.finish(docs, found, _shape(with_text), SCHEMA + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else ""))
