@@ -266,8 +266,9 @@ def near_groups(df, id_col="doc_id", text_col="text", size=SHINGLE, threshold=TH
     needed = multi.select("doc").distinct()
     sets = runtime.cut(docs.join(needed, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>"), "sets")
     links, group = _linked(multi, sets, threshold)
-    copies = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min(F.col("doc_id")).alias("x"), F.max("doc_id").alias("y"))
-    member = full.select("doc_id", "set_a", "set_b").join(copies.where("x <> y").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
+    copies = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("y")).where("rep <> y").drop("y")
+    # Written, so that the join has two shuffled sides and a large group of copies can be split.
+    member = full.select("doc_id", "set_a", "set_b").join(runtime.cut(copies, "copies"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
     # Rows that share a doc_id but not a set lie in several sets: those sets' representatives are linked.
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("doc_id")
     if not twice.isEmpty():
