@@ -81,6 +81,19 @@ def queries():
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+             r AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+             s AS (SELECT g.doc_id, g.i FROM g JOIN r ON r.k = g.k),
+             n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s),
+             m AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
+             t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM m GROUP BY doc_id),
+             e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM m
+                   UNION ALL SELECT d.doc_id, coalesce(t.last, 0), len(d.h) // 2 FROM d LEFT JOIN t ON t.doc_id = d.doc_id),
+             k AS (SELECT e.doc_id, string_agg(substr(d.h, 2 * e.x + 1, 2 * (e.y - e.x)), '' ORDER BY e.x) AS kept FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(k.kept)) AS kept_sha256
+        FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op3_recompression": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
              g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
