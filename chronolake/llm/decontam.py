@@ -12,8 +12,9 @@ word), by a 64-bit hash.
    the document must have as many words from there (length bound).
 4. Verification: the words from that place are held against the window's, word by word.
 
-The benchmark is broadcast only while it has at most BROADCAST_SHINGLES shingles, and candidates while they are as
-few; more are joined by shuffle.  Documents are split into words once; the table of words goes to the shared folder.
+The benchmark is broadcast only while it has at most BROADCAST_SHINGLES shingles; then a document's words are
+verified where its shingle is met, and no text is shuffled.  A larger benchmark is joined by shuffle, and so are the
+candidates with the texts.  Documents are split into words once; the table of words goes to the shared folder.
 
 Null texts and texts without words give no words, no hits and no items; repeated items count once for each
 distinct item_id; a null item_id still marks words but is not listed; an empty benchmark hits nothing and
@@ -96,19 +97,25 @@ def occurrences(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", it
     rarity = runtime.cut(rarity, "rarity")
     ranked = parts.join(rarity, ["shingle", "size"], "left").groupBy("window", "length", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"))
     prefix = runtime.cut(ranked.where("rarest.df > 0").select("window", "length", "size", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place")), "prefix")
+    same = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"]
     found = None
     for size in sorted(sizes) or [2]:
-        tokens = texts.select("doc_id", "body", "n", F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
+        place = ["doc_id", "own", "body", "n", *["w"] * small]
+        tokens = texts.select(*place, F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
         met = tokens.join(_small(prefix.where(F.col("size") == size).drop("size"), small), "shingle").withColumn("start", F.col("pos") - F.col("place"))
-        met = met.where("start >= 0 AND start + length <= n").select("doc_id", "body", "start", "length", "window")
+        met = met.where("start >= 0 AND start + length <= n")
+        if small:
+            # The words stand beside the shingle, in one generated loop that copies no row: only a match is sliced.
+            met = met.where(same({c: F.col(c) for c in ("start", "length", "window")}))
+        met = met.select("doc_id", "own", "body", "start", "length", "window")
         found = met if found is None else found.unionByName(met)
     # Distinct, since a repeated row gives each of its places twice.
-    likely = runtime.cut(found.distinct(), "candidates")
-    lists = likely.groupBy(*_key()).agg(F.collect_list(F.struct("start", "length", "window")).alias("likely"))
-    if likely.count() <= broadcast_shingles:
-        lists = F.broadcast(lists)
-    same = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"]
-    proved = texts.select("*", *_key()[:2]).join(lists, KEY).select("doc_id", "own", F.explode(F.filter("likely", same)).alias("c")).select("doc_id", "own", "c.*").distinct()
+    if small:
+        proved = found.drop("body").distinct()
+    else:
+        likely = runtime.cut(found.drop("own").distinct(), "candidates")
+        lists = likely.groupBy(*_key()).agg(F.collect_list(F.struct("start", "length", "window")).alias("likely"))
+        proved = texts.select("*", *_key()[:2]).join(lists, KEY).select("doc_id", "own", F.explode(F.filter("likely", same)).alias("c")).select("doc_id", "own", "c.*").distinct()
     return runtime.cut(proved, "occurrences"), made.select("window", "item_id"), texts.select("doc_id", "own", F.col("n").cast("long").alias("n_words"))
 
 
