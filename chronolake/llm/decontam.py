@@ -101,11 +101,13 @@ def occurrences(docs, bench, window=WINDOW, id_col="doc_id", text_col="text", it
     found = None
     for size in sorted(sizes) or [2]:
         place = ["doc_id", "own", "body", "n", *["w"] * small]
-        tokens = texts.select(*place, F.posexplode(shingles(F.col("w"), size)).alias("pos", "shingle"))
+        # Of a column, posexplode_outer runs as generated code and copies no row; of an expression of lambdas it would copy w for each word,
+        # and without outer the shingles would be made twice, to see that there are any.
+        tokens = texts.withColumn("s", shingles(F.col("w"), size)).select(*place, F.posexplode_outer("s").alias("pos", "shingle"))
         met = tokens.join(_small(prefix.where(F.col("size") == size).drop("size"), small), "shingle").withColumn("start", F.col("pos") - F.col("place"))
         met = met.where("start >= 0 AND start + length <= n")
         if small:
-            # The words stand beside the shingle, in one generated loop that copies no row: only a match is sliced.
+            # The words stand beside the shingle: only where it is met are they sliced.
             met = met.where(same({c: F.col(c) for c in ("start", "length", "window")}))
         met = met.select("doc_id", "own", "body", "start", "length", "window")
         found = met if found is None else found.unionByName(met)
