@@ -109,16 +109,25 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in wanted.items()])
 
 
-def violations(df: DataFrame, name: str) -> DataFrame:
-    """One row: the number of nulls in each column that must not hold any, rows of the future, rows known before they exist."""
-    spec = dataset(name)
-    checks = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in spec.not_null]
+def rules(name: str) -> dict:
+    """What a row of the dataset must not be: null where a value is required, of the future, known before it exists."""
+    broken = {f"null_{c}": F.col(c).isNull() for c in dataset(name).not_null}
     ahead = F.col("known_at") > F.current_timestamp() + F.make_interval(secs=F.lit(CLOCK_SLACK))
-    return df.agg(*checks, F.count_if(ahead).alias("in_future"), F.count_if(F.col("as_of") > F.col("known_at")).alias("before_as_of"))
+    return broken | {"in_future": ahead, "before_as_of": F.col("as_of") > F.col("known_at")}
+
+
+def violations(df: DataFrame, name: str) -> DataFrame:
+    """One row: the number of rows that break each of the rules."""
+    return df.agg(*[F.count_if(broken).alias(rule) for rule, broken in rules(name).items()])
+
+
+def offenders(df: DataFrame, name: str, rule: str, limit: int = 3) -> DataFrame:
+    """Some rows that break a rule, by the columns that name them (a report of at most `limit`)."""
+    return df.where(rules(name)[rule]).select(*dict.fromkeys([*dataset(name).version_key, "known_at"])).limit(limit)
 
 
 def validate(df: DataFrame, name: str) -> DataFrame:
-    """conform, and one aggregate pass over all rules; raises SchemaError with the counts."""
+    """conform, and one aggregate pass over all rules; raises SchemaError with the counts and some of the rows."""
     out = conform(df, name)
     try:
         found = violations(out, name).first().asDict()
@@ -127,5 +136,6 @@ def validate(df: DataFrame, name: str) -> DataFrame:
             raise SchemaError(f"{name}: {str(error).splitlines()[0]}") from error
         raise
     if bad := {k: v for k, v in found.items() if v}:
-        raise SchemaError(f"{name}: {bad}")
+        shown = {rule: [r.asDict() for r in offenders(out, name, rule).collect()] for rule in bad}
+        raise SchemaError(f"{name}: {bad}; for example {shown}")
     return out

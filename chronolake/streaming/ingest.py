@@ -57,6 +57,56 @@ def refusals(state: DataFrame, attempts: DataFrame) -> DataFrame:
     return out.withColumn("retry_after", F.col("last_at") + F.make_dt_interval(days=backoff_days(F.col("attempts")).cast("int")))
 
 
+#: A written state of refusals.
+STATE = "source string, symbol string, attempts long, last_at timestamp, retry_after timestamp"
+
+
+def due(state: DataFrame, now) -> DataFrame:
+    """The refused symbols that may be tried again."""
+    return state.where(F.col("retry_after") <= now)
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the states that were written to the end, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("generation=")]
+    whole = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().partition("=")[2]) for f in whole)
+
+
+def read_refusals(spark: SparkSession, path: str) -> DataFrame:
+    """The last state that was written whole; no rows where there is none."""
+    held = _generations(spark, path)
+    return spark.read.schema(STATE).parquet(f"{path}/generation={held[-1]}") if held else spark.createDataFrame([], STATE)
+
+
+def write_refusals(state: DataFrame, path: str) -> None:
+    """Write a new state beside the one it may be made from; a writer that dies leaves the old one in force.
+
+    The state before the new one stays, for those who still read it; older ones go.  One writer at a time.
+    """
+    spark = state.sparkSession
+    held = _generations(spark, path)
+    columns = [part.split(" ")[0] for part in STATE.split(", ")]
+    state.select(*columns).write.mode("overwrite").parquet(f"{path}/generation={held[-1] + 1 if held else 0}")
+    for old in held[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={old}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A line of the run log.
+RUN = "run_id string, job string, status string, rows long, finished_at timestamp, message string"
+
+
+def record_runs(runs: DataFrame, path: str) -> None:
+    """Append the jobs of a run to the JSON-lines log that `recent_runs` reads; nulls are left out of a line."""
+    names = [part.split(" ")[0] for part in RUN.split(", ")]
+    runs.select(*names).write.mode("append").json(path)
+
+
 def plan_totals(runs: DataFrame) -> DataFrame:
     """rows, failures and skips of ingest runs; a run log is JSON lines read with DROPMALFORMED."""
     return runs.groupBy("run_id").agg(F.sum("rows").alias("rows"), F.count_if(F.col("status") == "failed").alias("failures"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.max("finished_at").alias("finished_at"))
@@ -64,5 +114,4 @@ def plan_totals(runs: DataFrame) -> DataFrame:
 
 def recent_runs(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     """The last runs of a JSON-lines log, broken lines left out (a report of the last `limit`)."""
-    shape = "run_id string, job string, status string, rows long, finished_at timestamp, message string"
-    return spark.read.schema(shape).option("mode", "DROPMALFORMED").json(path).where("run_id IS NOT NULL").orderBy(F.col("finished_at").desc()).limit(limit)
+    return spark.read.schema(RUN).option("mode", "DROPMALFORMED").json(path).where("run_id IS NOT NULL").orderBy(F.col("finished_at").desc()).limit(limit)

@@ -201,3 +201,24 @@ def test_refusals(spark):
     tries = spark.createDataFrame([("y", "A", at("2024-02-01T00:00"), True), ("y", "B", at("2024-02-01T00:00"), False), ("y", "C", at("2024-02-01T00:00"), True)], "source string, symbol string, at timestamp, refused boolean")
     got = {r.symbol: (r.attempts, (r.retry_after - r.last_at).days) for r in ingest.refusals(state, tries).collect()}
     assert got == {"A": (3, 12), "C": (1, 3)}
+
+
+def test_refusals_and_runs_are_kept(spark, tmp_path):
+    path = str(tmp_path / "refused")
+    assert ingest.read_refusals(spark, path).isEmpty()
+    tries = [("y", "A", at("2024-02-01T00:00"), True), ("y", "B", at("2024-02-01T00:00"), True)]
+    shape = "source string, symbol string, at timestamp, refused boolean"
+    for day in (tries, tries[:1], [("y", "B", at("2024-03-01T00:00"), False)]):
+        ingest.write_refusals(ingest.refusals(ingest.read_refusals(spark, path), spark.createDataFrame(day, shape)), path)
+    (left,) = ingest.read_refusals(spark, path).collect()
+    assert (left.symbol, left.attempts) == ("A", 2)
+    (tmp_path / "refused" / "generation=9").mkdir()  # a writer that died
+    state = ingest.read_refusals(spark, path)
+    assert state.count() == 1 and ingest.due(state, at("2024-02-07T00:00")).count() == 1 and ingest.due(state, at("2024-02-06T00:00")).isEmpty()
+    log = str(tmp_path / "runs")
+    runs = spark.createDataFrame([("r1", "bars", "ok", 5, at("2024-01-01T00:00"), None), ("r1", "news", "failed", 0, at("2024-01-01T01:00"), "no answer")], ingest.RUN)
+    ingest.record_runs(runs, log)
+    ingest.record_runs(runs.withColumn("run_id", F.lit("r2")), log)
+    (tmp_path / "runs" / "part-broken.json").write_text('{"run_id": "r3", "job"')
+    assert [r.job for r in ingest.recent_runs(spark, log, 2).collect()] == ["news", "news"]
+    assert sorted(tuple(r)[:4] for r in ingest.plan_totals(ingest.recent_runs(spark, log)).collect()) == [("r1", 5, 1, 0), ("r2", 5, 1, 0)]
